@@ -21,6 +21,15 @@ class Table:
         self.symbols, self.freq = symbols.astype(np.uint32), freq.astype(np.uint64)
         self.cum = (np.cumsum(self.freq) - self.freq).astype(np.uint64)
         self._slots: np.ndarray | None = None
+        self._at: np.ndarray | None = None
+
+    @property
+    def at(self) -> np.ndarray:
+        """The place of each symbol in the table."""
+        if self._at is None:
+            self._at = np.zeros(int(self.symbols[-1]) + 1 if len(self.symbols) else 0, np.int64)
+            self._at[self.symbols] = np.arange(len(self.symbols))
+        return self._at
 
     @property
     def slots(self) -> np.ndarray:
@@ -30,7 +39,9 @@ class Table:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Table:
-        symbols, count = np.unique(ids, return_counts=True)
+        every = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+        symbols = np.flatnonzero(every)
+        count = every[symbols]
         if len(symbols) > _M // 2:
             raise ValueError(f"{len(symbols)} distinct ids; a table holds {_M // 2}")
         f = np.maximum(1, count * _M // max(1, count.sum())).astype(np.int64)
@@ -64,7 +75,7 @@ def encode(ids: np.ndarray, table: Table) -> dict:
     n = len(ids)
     lanes = int(min(LANES, max(1, n // 64)))
     steps = -(-n // lanes)
-    at = np.searchsorted(table.symbols, ids)
+    at = table.at[ids]
     grid = np.full(steps * lanes, int(np.argmax(table.freq)) if len(table.freq) else 0, np.int64)
     grid[:n] = at
     f, c = table.freq[grid].reshape(steps, lanes), table.cum[grid].reshape(steps, lanes)
