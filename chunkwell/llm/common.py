@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.session import ship
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text handled at a time in Python: bounds a worker's memory whatever the length of Spark's batches.
 SLICE_CHARS = 1_000_000
@@ -45,13 +47,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches for rows that are whole texts: 10,000 of them, Spark's default, may be far too much at once."""
+def prepare(spark: SparkSession) -> None:
+    """The package on the executors, and Arrow batches for rows that are whole texts: 10,000, the default, may be far too much at once."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, slices
+from .common import LOWER_TABLE, prepare, slices
 
 #: n of the byte n-grams; slots (a power of two) and look-ups of an n-gram.
 SIZES, SLOTS, HASHES = (2, 3, 4), 1 << 20, 2
@@ -70,6 +70,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """
     import numpy as np
 
+    prepare(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     per = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not per:
@@ -116,6 +117,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     by name; a text with letters but no known n-gram gets the most frequent language and score 0. Without languages
     every text is `und`. Null and repeated doc_ids stay rows; other columns are ignored.
     """
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS words, whatever the corpus
 
     def decide(batches: Iterator) -> Iterator:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, drop, materialise, slices
+from .common import LOWER_TABLE, drop, materialise, prepare, slices
 
 BANDS, ROWS = 24, 4
 #: A pair at the threshold t agrees in BANDS * ROWS minima less than t - SLACK of the time with probability below 1e-5.
@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     a class their component is null and they are kept. Repeated rows are reported alike. Other columns are ignored;
     an empty table gives no rows.
     """
+    prepare(docs.sparkSession)
     signed, _ = materialise(signatures(docs, k), "signed")
     reps, _ = materialise(signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
     bands = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * 4 * ROWS + 1, F.lit(4 * ROWS))))).alias("key"))

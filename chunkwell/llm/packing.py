@@ -11,15 +11,15 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .common import materialise, slices
+from .common import materialise, prepare, slices
 from .tokens import Encoder, default_tokenizer
 
-_IDS = "part long, part_start long, doc_id long, n long, ids binary"
+_IDS = "part long, part_start long, doc_id long, n long, ids binary, width long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """One row per document: ids (little-endian, end id included) and where it starts in its input partition."""
+    """One row per document: ids (little-endian of `width` bytes, end id included) and where it starts in its input partition."""
 
     def encode(batches: Iterator) -> Iterator:
         import numpy as np
@@ -27,29 +27,22 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         encoder, part, at = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        width, end = encoder.width, end_id.to_bytes(encoder.width, "little")
         for b in slices(batches, 1):
             ids = [x + end for x in encoder.ids(b.column(1).to_pylist())]
-            n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+            n = np.fromiter((len(x) // width for x in ids), np.int64, len(ids))
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int64)), pa.array(starts), b.column(0), pa.array(n), pa.array([_narrow(x) for x in ids], pa.binary())], ["part", "part_start", "doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int64)), pa.array(starts), b.column(0), pa.array(n), pa.array(ids, pa.binary()), pa.array(np.full(len(n), width, np.int64))], ["part", "part_start", "doc_id", "n", "ids", "width"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(encode, _IDS)
 
 
-def _narrow(ids: bytes) -> bytes:
-    """16 bits an id where all fit, behind a byte that says so: halves what is written."""
+def widen(ids: bytes, width: int) -> bytes:
+    """Ids of `width` bytes as little-endian unsigned 32-bit ones."""
     import numpy as np
 
-    a = np.frombuffer(ids, "<u4")
-    return b"\x02" + a.astype("<u2").tobytes() if not len(a) or a.max() < 1 << 16 else b"\x04" + ids
-
-
-def widen(ids: bytes) -> bytes:
-    import numpy as np
-
-    return np.frombuffer(ids, "<u2", offset=1).astype("<u4").tobytes() if ids[:1] == b"\x02" else ids[1:]
+    return ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
 def padded_length(length: int, window: int) -> int:
@@ -67,6 +60,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, window:
     import numpy as np
 
     spark = docs.sparkSession
+    prepare(spark)
     ids, _ = materialise(token_table(docs, tokenizer or default_tokenizer(), end_id), "pack-ids")
     totals = sorted((r.part, r.n) for r in ids.groupBy("part").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect())  # a row for each partition
     parts = np.array([p for p, _ in totals], np.int64)
@@ -83,8 +77,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, window:
         total = int(sums[-1])
         for b in slices(batches, 4):
             rows: list[tuple] = []
-            for part, at, doc, n, raw in zip(*(c.to_pylist() for c in b.columns)):
-                g, data, start = int(sums[np.searchsorted(parts, part)]) + at, memoryview(widen(raw)), 0
+            for part, at, doc, n, raw, width in zip(*(c.to_pylist() for c in b.columns)):
+                g, data, start = int(sums[np.searchsorted(parts, part)]) + at, memoryview(widen(raw, width)), 0
                 while start < n:
                     seq, off = divmod(g + start, window)
                     length = min(window - off, n - start)

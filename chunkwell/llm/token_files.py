@@ -12,13 +12,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
-from .packing import _narrow, widen
+from .common import prepare, slices
+from .packing import widen
 from .tokens import Encoder, default_tokenizer
 
 #: Ids in a segment: bounds what a task holds.
 SEGMENT = 1 << 20
-_ROWS = "bucket int, doc_id long, n long, ids binary"
+_ROWS = "bucket int, doc_id long, n long, ids binary, width int"
 _BLOCK = "struct<n:long, lanes:int, words:binary, marks:array<struct<step:long, word:long, state:binary>>, crc:long>"
 FORMAT = f"shard int, segment int, shard_start long, n_tokens long, freq binary, docs binary, blocks array<{_BLOCK}>"
 
@@ -31,6 +31,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     than a segment is split over blocks of its own segment.
     """
     spark = docs.sparkSession
+    prepare(spark)
     tokenizer = tokenizer or default_tokenizer()
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     shards = shards or max(1, docs.rdd.getNumPartitions())
@@ -42,11 +43,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder = Encoder.of(tokenizer)
+        width, end = encoder.width, end_id.to_bytes(encoder.width, "little")
         for b in slices(batches, 1):
             ids = [x + end for x in encoder.ids(b.column(1).to_pylist())]
             where = np.searchsorted(bounds, pc.fill_null(b.column(0), -(1 << 63)).to_numpy(zero_copy_only=False), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([_narrow(x) for x in ids], pa.binary())], ["bucket", "doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), b.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32())], ["bucket", "doc_id", "n", "ids", "width"])
 
     rows = docs.mapInArrow(encode, _ROWS).repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n", "ids")
     rows.mapInArrow(_segments, FORMAT).write.option("compression", "none").parquet(path)
@@ -82,12 +84,12 @@ def _segments(batches: Iterator) -> Iterator:
         return pa.RecordBatch.from_pylist([row], schema)
 
     for b in slices(batches, 3):
-        for bucket, doc, n, ids in zip(*(c.to_pylist() for c in b.columns)):
+        for bucket, doc, n, ids, width in zip(*(c.to_pylist() for c in b.columns)):
             if bucket != state["shard"]:
                 if docs:
                     yield flush()
                 state.update(shard=bucket, segment=0, start=0)
-            docs.append((doc, n, widen(ids)))
+            docs.append((doc, n, widen(ids, width)))
             state["held"] += n
             if state["held"] >= SEGMENT:
                 yield flush()
@@ -99,6 +101,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit), from the files."""
     import numpy as np
 
+    prepare(spark)
     files = spark.read.schema(FORMAT).parquet(path)
     totals = sorted((r.shard, r.n) for r in files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())  # a row for each shard
     shards, sums = np.array([s for s, _ in totals]), np.cumsum([0] + [n for _, n in totals])

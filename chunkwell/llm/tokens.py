@@ -14,8 +14,8 @@ import re
 from array import array
 
 #: When the cache of a Python worker has so many pieces it becomes the older one, in which a second look finds them:
-#: pieces in use stay, and both together take some 80 MB.
-CACHE_PIECES = 200_000
+#: pieces in use stay, and both together take some 110 MB.
+CACHE_PIECES = 300_000
 #: Separators to Python's str.split beyond tab, newlines, form feeds and space.
 _RARE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028-\u2029\u202f\u205f\u3000\ufeff]")
 
@@ -40,8 +40,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Cache(dict):
+    """Pieces' ids; a missing piece is taken from the older cache or made."""
+
+    def __init__(self, make, older: dict[str, bytes]) -> None:
+        self.make, self.older = make, older
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self[piece] = self.older.get(piece) or self.make(piece)
+        return got
+
+
 class Encoder:
-    """ids(texts) -> one bytes of little-endian unsigned 32-bit ids per text; None counts as empty."""
+    """ids(texts) -> one bytes of little-endian unsigned ids per text, of `width` bytes each; None counts as empty."""
 
     _made: dict[str, Encoder] = {}
 
@@ -49,7 +60,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        #: Bytes of an id: two if all ids of the file fit.
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code, self.cache = "H" if self.width == 2 else "I", _Cache(self._piece, {})
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
@@ -67,13 +81,11 @@ class Encoder:
         return cls._made[path]
 
     def _library(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
+        return array(self.code, [x.id for x in self.model.tokenize(letters)]).tobytes()
 
     def _pieces(self, text: str | None) -> list[str] | None:
         """The tokenizer's pieces of a plain text; None for another."""
@@ -88,9 +100,6 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         if len(self.cache) > CACHE_PIECES:
-            self.cache, self.older = {}, self.cache
-        cache, older, split = self.cache, self.older.get, [self._pieces(t) for t in texts]
-        for p in set().union(*(p for p in split if p)) - cache.keys():
-            cache[p] = older(p) or self._piece(p)
-        get = cache.__getitem__
-        return [self._other(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, split)]
+            self.cache = _Cache(self._piece, dict(self.cache))
+        get = self.cache.__getitem__
+        return [self._other(t) if (p := self._pieces(t)) is None else b"".join(map(get, p)) for t in texts]
