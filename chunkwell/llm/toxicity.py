@@ -7,13 +7,14 @@ the model ignore which group is mentioned; so neutral mentions of a group often
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, words_of
+from .common import drop, materialise, prepare, slices, words_of
 
 # Groups of identity terms that stand for one another in a neutral sentence.
 IDENTITY_GROUPS = [
@@ -27,9 +28,9 @@ IDENTITY_GROUPS = [
 ]
 
 #: Labelled rows of each class that training reads at most (about; chosen by a hash of doc_id), and features kept.
-SAMPLE, FEATURES = 6000, 4000
+SAMPLE, FEATURES = 5000, 4000
 #: Lengths of the beginnings of words, in bytes of UTF-8; documents a feature must be in; weights of the penalties.
-STARTS, LEAST, L1, COUNTERFACTUAL = (4, 5, 6), 4, 0.3, 30.0
+STARTS, LEAST, L1, COUNTERFACTUAL = (4, 5, 6), 4, 1.0, 30.0
 
 
 @dataclass
@@ -42,14 +43,20 @@ def features(word: bytes) -> list[bytes]:
     return [b"=" + word, *(b"^" + word[:n] for n in STARTS if len(word) > n)]
 
 
-def swaps(words: set[bytes]) -> list[set[bytes]]:
+def text_features(words: list[bytes], known=features) -> set[bytes]:
+    """The features of a text's words, with a mark for those that occur more than once."""
+    count = Counter(f for w in words for f in known(w))
+    return set(count) | {b"2" + f for f, n in count.items() if n > 1}
+
+
+def swaps(words: list[bytes]) -> list[list[bytes]]:
     """The words with each identity term in turn replaced by the next of its group, and by the one after."""
-    out = []
+    out, there = [], set(words)
     for group in IDENTITY_GROUPS:
         terms = [t.encode() for t in group]
         for i, t in enumerate(terms):
-            if t in words:
-                out += [(words - {t}) | {terms[(i + step) % len(terms)]} for step in (1, 2)[: len(terms) - 1]]
+            if t in there:
+                out += [[terms[(i + step) % len(terms)] if w == t else w for w in words] for step in (1, 2)[: len(terms) - 1]]
     return out
 
 
@@ -112,45 +119,78 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactu
     share = F.when(F.col("toxic") == 1, min(1.0, sample / per[1])).otherwise(min(1.0, 2 * sample / per[0]))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30) < share)
 
-    def words(batches: Iterator) -> Iterator:
+    def distinct(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
 
         for b in slices(batches, 1):
-            w = [sorted(set(words_of(t))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_64_intdigest(b" ".join(x)) >> 1 for x in w], pa.int64()), pa.array(w, pa.list_(pa.binary()))], ["toxic", "same", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_64_intdigest(b" ".join(sorted(words_of(t)))) >> 1 for t in b.column(1).to_pylist()], pa.int64()), b.column(1)], ["toxic", "same", "text"])
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in slices(batches, 1):
+            n: dict[bytes, list[int]] = {}
+            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for f in text_features(words_of(text)):
+                    n.setdefault(f, [0, 0])[y != 0] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), *(pa.array([c[y] for c in n.values()], pa.int64()) for y in (0, 1))], ["f", "a", "b"])
 
     # at most three samples of (id, label): a bounded side
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text").where("text is not null")
-    rows = texts.mapInArrow(words, "toxic int, same long, words array<binary>").dropDuplicates(["toxic", "same"])
-    data = [(r.toxic, {bytes(w) for w in r.words}) for r in rows.toLocalIterator()]
-    data.sort(key=lambda r: (r[0], sorted(r[1])))
-    counts: dict[bytes, list[int]] = {}
-    for y, ws in data:
-        for f in {f for w in ws for f in features(w)}:
-            counts.setdefault(f, [0, 0])[y] += 1
-    n1 = max(1, sum(y for y, _ in data))
-    n0 = max(1, len(data) - n1)
-
-    def chi(c: list[int]) -> float:
-        a, b = c[1], c[0]
-        return (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n0 + n1 - a - b) or 1)
-
-    kept = sorted((f for f, c in counts.items() if sum(c) >= LEAST), key=lambda f: (-chi(counts[f]), f))[:FEATURES]
-    kept += sorted({f for g in IDENTITY_GROUPS for t in g for f in features(t.encode()) if f in counts} - set(kept))
-    index = {f: i for i, f in enumerate(kept)}
-    of = lambda ws: {index[f] for w in ws for f in features(w) if f in index}
-    matrix, changes = [], []
-    for y, ws in data:
-        matrix.append((y, sorted(x := of(ws))))
-        for other in swaps(ws):
-            z = of(other)
-            if z != x:
-                changes.append((sorted(z - x), sorted(x - z)))
-    w, b = fit(matrix, changes, len(kept), counterfactual)
+    rows, path = materialise(texts.mapInArrow(distinct, "toxic int, same long, text string").dropDuplicates(["toxic", "same"]).select("toxic", "text"), "sample")
+    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    counts, at = materialise(rows.mapInArrow(count, "f binary, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST), "counts")
+    chi = F.expr(f"pow(b * ({n0}D - a) - a * ({n1}D - b), 2) / ((a + b) * greatest(1, {n0 + n1}D - a - b))")
+    identity = {f for g in IDENTITY_GROUPS for t in g for f in features(t.encode())}
+    kept = {bytes(r.f) for r in counts.orderBy(chi.desc(), "f").limit(FEATURES).collect()} | {bytes(r.f) for r in counts.where(F.col("f").isin(*sorted(identity))).collect()}
+    index = {f: i for i, f in enumerate(sorted(kept))}
+    shared = spark.sparkContext.broadcast(index)
+
+    def place(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        index = shared.value
+        of = lambda w: {index[f] for f in text_features(w) if f in index}
+        for b in slices(batches, 1):
+            out = []
+            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = of(words := words_of(text))
+                out.append((y, sorted(x), [{"gained": sorted(z - x), "lost": sorted(x - z)} for z in map(of, swaps(words)) if z != x]))
+            change = pa.list_(pa.struct([("gained", pa.list_(pa.int32())), ("lost", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.list_(pa.int32()), change))], ["toxic", "at", "changes"])
+
+    placed = rows.mapInArrow(place, "toxic int, at array<int>, changes array<struct<gained:array<int>, lost:array<int>>>").collect()  # bounded by the sample
+    drop(spark, path)
+    drop(spark, at)
+    placed.sort(key=lambda r: (r.toxic, r.at))
+    w, b = fit([(r.toxic, r.at) for r in placed], [(c.gained, c.lost) for r in placed for c in r.changes], len(index), counterfactual)
     return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-6}, float(np.clip(b, -30, 30)))
 
 
+class Scorer:
+    """logits(texts): a text's sum of weights; the words' known features are kept, up to a bound."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.known = model, {}
+        self.used = {f.removeprefix(b"2") if f[:1] == b"2" else f for f in model.weights}
+
+    def logits(self, texts: list[str | None]) -> list[float]:
+        out, known, weights = [], self.known, self.model.weights
+        for text in texts:
+            words = words_of(text)
+            there = set(words)
+            for w in there - known.keys():
+                known[w] = tuple(f for f in features(w) if f in self.used)
+            hit = {w for w in there if known[w]}
+            found = text_features([w for w in words if w in hit], known.__getitem__) if hit else ()
+            out.append(self.model.bias + sum(weights.get(f, 0.0) for f in sorted(found)))
+            if len(known) > 200_000:
+                known.clear()
+        return out
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted (1 if score >= 0.5) of (doc_id, text).
 
@@ -164,16 +204,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        m, known = shared.value, {}
+        scorer = Scorer(shared.value)
         for b in slices(batches, 1):
-            sums = []
-            for text in b.column(1).to_pylist():
-                ws = set(words_of(text))
-                for w in ws - known.keys():
-                    known[w] = tuple(f for f in features(w) if f in m.weights)
-                sums.append(m.bias + sum(m.weights[f] for f in sorted({f for w in ws for f in known[w]})))
-                if len(known) > 200_000:
-                    known.clear()
+            sums = scorer.logits(b.column(1).to_pylist())
             p = 1 / (1 + np.exp(-np.clip(np.array(sums, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -182,23 +215,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of documents, with all their columns, that the model doesn't reject. A row is judged where it is read."""
-    import pyarrow as pa
-
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def keep(batches: Iterator) -> Iterator:
-        m, known = shared.value, {}
+        import pyarrow as pa
+
+        scorer = Scorer(shared.value)
         for b in slices(batches, at):
-            stay = []
-            for text in b.column(at).to_pylist():
-                ws = set(words_of(text))
-                for w in ws - known.keys():
-                    known[w] = tuple(f for f in features(w) if f in m.weights)
-                stay.append(m.bias + sum(m.weights[f] for f in sorted({f for w in ws for f in known[w]})) < 0)
-                if len(known) > 200_000:
-                    known.clear()
-            yield b.filter(pa.array(stay))
+            yield b.filter(pa.array([x < 0 for x in scorer.logits(b.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
