@@ -82,7 +82,7 @@ def name_documents(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> DataF
         rows = named
         for k in range(levels - done):
             rows = rows.withColumn(f"p{k}", _pairs(F.col(f"n{k - 1}" if k else "names"))).withColumn(f"n{k}", _named(F.col(f"p{k}"), bits))
-        each = F.concat(*(F.transform(F.filter(f"p{k}", lambda p: p["b"].isNotNull()), lambda p, k=k: F.struct(F.lit(done + k + 1).alias("level"), p.alias("v"))) for k in range(levels - done)))
+        each = F.concat(*(F.transform(F.filter(f"p{k}", lambda p: p["b"].isNotNull()), lambda p: F.struct(F.lit(done + k + 1).alias("level"), p.alias("v"))) for k in range(levels - done)))
         flat = rows.select(F.explode(each).alias("e")).select("e.level", "e.v")
         first = _mixed(flat.withColumn("h", _bucket(F.col("v.a.h"), F.col("v.a.r"), F.col("v.b.h"), F.col("v.b.r"), bits=bits))).agg(F.min("level")).first()[0]
         good = levels - done if first is None else first - done

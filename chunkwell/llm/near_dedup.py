@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 from .common import LOWER_TABLE, drop, materialise, prepare, slices
 
 BANDS, ROWS = 24, 4
-#: A pair at the threshold t agrees in BANDS * ROWS minima less than t - SLACK of the time with probability below 1e-5.
-SLACK = 0.185
+#: Bins of the sketch by which pairs are verified (one minimum a bin, one byte; 0 where a bin is empty). Its share of
+#: equal bins differs from the similarity by less than SLACK: over five standard deviations for sets of any size.
+BINS, SLACK = 1024, 0.09
+#: Bins that are compared first, their slack, and how many of them must hold something for that to be sure.
+COARSE, COARSE_SLACK, COARSE_LEAST = 256, 0.25, 80
 #: Rows of a bucket compared at a time.
 TILE = 256
-#: In the first full search, pairs of a row with rows of other components in a tile: the most alike. The second has no bound.
+#: In the first full search a row gives its most alike rows of other components in a tile; if any had more, a second gives all.
 FIRST = 8
 
 
@@ -50,38 +53,78 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     def sign(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
         a, b = _coefficients(BANDS * ROWS)
-        word_hash: dict[bytes, int] = {}
-        digest, prime = xxhash.xxh3_64_intdigest, np.uint64(0x9E3779B97F4A7C15)
+        hashes = Hashes(k)
         for batch in slices(batches, 1):
-            sets, n, d1, d2 = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                w = shingle_words(text)
-                for x in w:
-                    if x not in word_hash:
-                        if len(word_hash) >= 200_000:
-                            word_hash.clear()
-                        word_hash[x] = digest(x)
-                h = np.fromiter((word_hash[x] if x in word_hash else digest(x) for x in w), np.uint64, len(w))
-                m = len(h) - k + 1
-                width, count = (k, m) if m > 0 else (len(h), min(1, len(h)))
-                s = np.full(count, len(h) if m <= 0 else k, np.uint64)
-                for j in range(width):
-                    s = (s ^ h[j : j + count]) * prime
-                    s ^= s >> np.uint64(29)
-                s = np.unique(s)
-                x = xxhash.xxh3_128(s.tobytes()).digest()
-                sets.append(s)
-                n.append(len(s))
-                d1.append(int.from_bytes(x[:8], "little", signed=True))
-                d2.append(int.from_bytes(x[8:], "little", signed=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([_minima(s, a, b) for s in sets], pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+            sets = [hashes.of(t) for t in batch.column(1).to_pylist()]
+            d1, d2 = zip(*map(digest, sets))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([_minima(s, a, b) for s in sets], pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sig"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(sign, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 
 
+class Hashes:
+    """of(text): the sorted 64-bit hashes of its distinct shingles. Words' hashes are kept, up to a bound."""
+
+    def __init__(self, k: int) -> None:
+        import xxhash
+
+        self.k, self.digest, self.known = k, xxhash.xxh3_64_intdigest, {}
+
+    def of(self, text: str | None):
+        import numpy as np
+
+        words, known, digest = shingle_words(text), self.known, self.digest
+        if len(known) > 200_000:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = digest(w)
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        width = min(self.k, len(h))
+        n = len(h) - width + 1 if len(h) else 0
+        s, prime = np.full(n, width, np.uint64), np.uint64(0x9E3779B97F4A7C15)
+        for j in range(width):
+            s = (s ^ h[j : j + n]) * prime
+            s ^= s >> np.uint64(29)
+        return np.unique(s)
+
+
+def digest(hashes) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    import xxhash
+
+    x = xxhash.xxh3_128(hashes.tobytes()).digest()
+    return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
+
+
+def sketch(hashes) -> bytes:
+    """One-permutation minima: the least hash of each bin, as a byte from 1 to 255; 0 for an empty bin."""
+    import numpy as np
+
+    mixed = hashes * np.uint64(0xD6E8FEB86659FD93)
+    bins, least = (mixed >> np.uint64(54)).astype(np.int64), np.zeros(BINS, np.uint8)
+    order = np.lexsort((mixed, bins))
+    first = np.flatnonzero(np.diff(bins[order], prepend=-1))
+    least[bins[order][first]] = ((mixed[order][first] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(56)) % np.uint64(255) + np.uint64(1)
+    return least.tobytes()
+
+
+def alike(one, many, least: float):
+    """Rows of `many` sketches whose share of equal bins with `one` is at least `least`, and the shares."""
+    import numpy as np
+
+    def counts(x, y):
+        return np.count_nonzero((y == x) & (y > 0), axis=1), np.count_nonzero(y | x, axis=1)
+
+    same, held = counts(one[:COARSE], many[:, :COARSE])
+    near = np.flatnonzero((held < COARSE_LEAST) | (same >= (least + SLACK - COARSE_SLACK) * held))
+    same, held = counts(one, many[near])
+    share = same / np.maximum(1, held)
+    return near[share >= least], share[share >= least]
+
+
 def _minima(s, a, b) -> bytes | None:
     import numpy as np
 
@@ -118,18 +161,61 @@ def components(edges: DataFrame) -> DataFrame:
     return now.selectExpr("u node", "v component").unionAll(now.selectExpr("v node", "v component").distinct())
 
 
+def _bloom(ids: DataFrame, column: str):
+    """A Bloom filter of two look-ups; its size has an upper bound, beyond which it only lets more through."""
+    import numpy as np
+
+    n = ids.count()
+    bits = 1 << min(24, max(16, (16 * max(1, n)).bit_length()))
+    places = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits)) for i in (0, 1)))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+    table = np.zeros(bits >> 6, np.int64)
+    for r in words.collect():  # at most 2**18 rows
+        table[r.w] = r.b
+    return table.view(np.uint64)
+
+
+def _candidate_texts(docs: DataFrame, reps: DataFrame, ids: DataFrame, k: int, once: bool) -> DataFrame:
+    """rep, text and fine (its sketch) of the representatives in ids; a Bloom filter leaves the other texts where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids, "rep"))
+    rows = docs.selectExpr("cast(doc_id as long) rep", "cast(text as string) text").where("rep is not null and text is not null")
+    size = len(shared.value) * 64
+    rows = rows.select("rep", F.pmod(F.xxhash64("rep", F.lit(0)), F.lit(size)).alias("p"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(size)).alias("q"), "text")
+
+    def read(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        table, hashes = shared.value, Hashes(k)
+        for batch in slices(batches, 3):
+            there = np.ones(batch.num_rows, bool)
+            for c in (1, 2):
+                at = batch.column(c).to_numpy(zero_copy_only=False)
+                there &= (table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            batch = batch.filter(pa.array(there))
+            sets = [hashes.of(t) for t in batch.column(3).to_pylist()]
+            if sets:
+                d1, d2 = zip(*map(digest, sets))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), batch.column(3), pa.array([sketch(x) for x in sets], pa.binary())], ["rep", "d1", "d2", "text", "fine"])
+
+    found = rows.mapInArrow(read, "rep long, d1 long, d2 long, text string, fine binary")
+    if not once:  # a repeated doc_id: its row with the representative's own set
+        found = found.join(reps.select("rep", "d1", "d2"), ["rep", "d1", "d2"], "left_semi").dropDuplicates(["rep"])
+    return found.select("rep", "text", "fine")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those with 100 * |A & B| >= percent * |A | B| on the full sets; signatures first."""
+    """Of pairs (a, b) those with 100 * |A & B| >= percent * |A | B| on the full sets; sketches first."""
 
     def check(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        least, known = (percent / 100 - SLACK) * BANDS * ROWS, (None, None)
+        least, known = percent / 100 - SLACK, (None, None)
         for batch in slices(batches, 5):
             got = []
-            for a, sa, ta, b, sb, tb in zip(*(c.to_pylist() for c in batch.columns)):
-                if np.count_nonzero(np.frombuffer(sa, "<u4") == np.frombuffer(sb, "<u4")) < least:
+            for a, fa, ta, b, fb, tb in zip(*(c.to_pylist() for c in batch.columns)):
+                if not len(alike(np.frombuffer(fa, np.uint8), np.frombuffer(fb, np.uint8)[None], least)[0]):
                     continue
                 if known[0] != a:
                     known = (a, shingle_set(ta, k))
@@ -139,47 +225,50 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                     got.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*got) if got else [[], []])], ["a", "b"])
 
-    left = texts.selectExpr("rep a", "sig sig_a", "text text_a")
-    right = texts.selectExpr("rep b", "sig sig_b", "text text_b")
-    full = pairs.join(right, "b").join(left, "a").select("a", "sig_a", "text_a", "b", "sig_b", "text_b")
+    left = texts.selectExpr("rep a", "fine fine_a", "text text_a")
+    right = texts.selectExpr("rep b", "fine fine_b", "text text_b")
+    full = pairs.join(right, "b").join(left, "a").select("a", "fine_a", "text_a", "b", "fine_b", "text_b")
     return full.mapInArrow(check, "a long, b long")
 
 
-def _tiles(mixed: DataFrame, percent: int, bound: int | None) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures agree enough.
+def _tiles(mixed: DataFrame, texts: DataFrame, percent: int, bound: int | None) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket whose sketches agree enough; a null one if a row had more than bound.
 
-    mixed: key, rep, component, sig, major (of the bucket's most frequent component). Rows of other components are
-    cut into tiles; each is compared with itself, with the later ones, and with the tiles of the major component.
+    mixed: key, rep, component, major (of the bucket's most frequent component). Rows of other components are cut
+    into tiles; each is compared with itself, with the later ones, and with the tiles of the major component.
     """
     sizes = mixed.groupBy("key").agg(F.count_if(~F.col("major")).alias("o"), F.count_if("major").alias("m")).selectExpr("key", f"cast(ceil(o / {TILE}) as int) no", f"cast(ceil(m / {TILE}) as int) nm")
     placed = mixed.join(sizes, "key").withColumn("t", F.expr("cast(pmod(xxhash64(rep, key), if(major, nm, no)) as int)"))
-    # a tile pair is (i, j): other tiles i <= j, or other tile i and major tile -1 - j
+    # a pair of tiles is (i, j): other tiles i <= j, or other tile i and major tile -1 - j
     spread = F.expr("if(major, transform(sequence(0, no - 1), i -> named_struct('i', i, 'j', -1 - t)), concat(transform(sequence(0, no - 1), x -> named_struct('i', least(x, t), 'j', greatest(x, t))), transform(if(nm > 0, sequence(0, nm - 1), cast(array() as array<int>)), x -> named_struct('i', t, 'j', -1 - x))))")
-    rows = placed.select("key", F.explode(spread).alias("p"), "t", "major", "rep", "component", "sig").select("key", "p.i", "p.j", "t", "major", "rep", "component", "sig")
+    rows = placed.select("key", F.explode(spread).alias("p"), "t", "major", "rep", "component").select("key", "p.i", "p.j", "t", "major", "rep", "component")
+    rows = rows.join(texts.select("rep", "fine"), "rep").select("key", "i", "j", "t", "major", "rep", "component", "fine")
 
     def compare(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        least, held, at = (percent / 100 - SLACK) * BANDS * ROWS, [], None
+        least, held, at = percent / 100 - SLACK, [], None
 
-        def pairs() -> list[tuple[int, int]]:
+        def pairs() -> list[tuple]:
             i, j = at[1], at[2]
             one = [r for r in held if not r[1] and r[0] == i]
             two = one if i == j else [r for r in held if (r[1] if j < 0 else not r[1] and r[0] == j)]
             if not one or not two:
                 return []
-            sig = lambda rs: np.frombuffer(b"".join(r[4] for r in rs), "<u4").reshape(len(rs), -1)
-            s1, s2, c2, found = sig(one), sig(two), np.array([r[3] for r in two]), []
-            for r, s in zip(one, s1):
-                agree = np.count_nonzero(s2 == s, axis=1)
-                agree[c2 == r[3]] = 0
-                near = np.flatnonzero(agree >= least)
+            table, c2, found = np.frombuffer(b"".join(r[4] for r in two), np.uint8).reshape(len(two), -1), np.array([r[3] for r in two]), []
+            for r in one:
+                other = np.flatnonzero(c2 != r[3])
+                near, share = alike(np.frombuffer(r[4], np.uint8), table[other], least) if len(other) else (other, None)
                 if bound and len(near) > bound:
-                    near = near[np.argsort(-agree[near], kind="stable")[:bound]]
-                found += [(min(r[2], two[x][2]), max(r[2], two[x][2])) for x in near]
+                    near = near[np.argsort(-share, kind="stable")[:bound]]
+                    found.append((None, None))
+                found += [(min(r[2], two[x][2]), max(r[2], two[x][2])) for x in other[near]]
             return found
 
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*set(out)) if out else [[], []])], ["a", "b"])
+
         for batch in batches:
             out = []
             for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -187,9 +276,9 @@ def _tiles(mixed: DataFrame, percent: int, bound: int | None) -> DataFrame:
                     out += pairs() if held else []
                     held, at = [], (key, i, j)
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*set(out)) if out else [[], []])], ["a", "b"])
-        if held and (out := pairs()):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(out))], ["a", "b"])
+            yield batch_of(out)
+        if held:
+            yield batch_of(pairs())
 
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
@@ -209,31 +298,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bands = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * 4 * ROWS + 1, F.lit(4 * ROWS))))).alias("key"))
     stars = bands.groupBy("key").agg(F.min("rep").alias("star"), F.max("rep").alias("last")).where("star != last").select("key", "star")
     held, _ = materialise(bands.join(stars, "key"), "buckets")
-    texts = docs.selectExpr("cast(doc_id as long) rep", "cast(text as string) text").join(reps.select("rep", "sig"), "rep").dropDuplicates(["rep"])
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs, p = materialise(pairs, "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        some, q = materialise(texts.join(ends, "rep", "left_semi"), "texts")
-        links, _ = materialise(_confirm(pairs, some, k, percent), name)
-        drop(docs.sparkSession, p)
-        drop(docs.sparkSession, q)
-        return links
-
-    links = verified(held.where("rep != star").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct(), "links")
+    once = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    texts, _ = materialise(_candidate_texts(docs, reps, held.select("rep").distinct(), k, once), "texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return materialise(_confirm(pairs, texts, k, percent), "links")[0]
+
+    links = verified(held.where("rep != star").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct())
     joined, _ = materialise(components(links), "components")
     for bound in (FIRST, None):
         labelled = held.join(joined, held.rep == joined.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         counts = labelled.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds"), F.sum("n").alias("rows"))
-        several, _ = materialise(counts.where("kinds > 1 and rows > 2").selectExpr("key", "top.component most"), "several")
-        mixed = labelled.join(several, "key").select("key", "rep", "component", F.expr("component = most").alias("major")).join(reps.select("rep", "sig"), "rep")
-        more = verified(_tiles(mixed, percent, bound), "links")
-        if more.isEmpty():
-            if bound is None:
-                break
-            continue
-        links = links.unionAll(more)
-        joined, _ = materialise(components(links), "components")
+        several = counts.where("kinds > 1 and rows > 2").selectExpr("key", "top.component most")  # a bucket of two was tested as star and member
+        mixed, _ = materialise(labelled.join(several, "key").select("key", "rep", "component", F.expr("component = most").alias("major")), "mixed")
+        pairs, _ = materialise(_tiles(mixed, texts, percent, bound), "pairs")
+        more = verified(pairs.where("a is not null"))
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            joined, _ = materialise(components(links), "components")
+        if pairs.where("a is null").isEmpty():
+            break
     classes = reps.select("d1", "d2", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     classes, _ = materialise(classes, "classes")
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
