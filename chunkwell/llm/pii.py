@@ -48,7 +48,7 @@ def _confirmed(kind: str, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     n = F.char_length(digits)
     if kind == "ip":
-        return F.forall(F.split(value, r"\."), lambda p: (F.char_length(F.ltrim(F.lit("0"), p)) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255))
+        return F.forall(F.split(value, r"\."), lambda p: (F.char_length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255))
     if kind == "card":
         return n.between(14, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":

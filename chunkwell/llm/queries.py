@@ -33,6 +33,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, find
+
+    return digest(find(table(spark, sf_dir, "documents")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import duplicates
 
@@ -62,7 +68,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_language_id, op3_token_files, op7_exact_dedup, op8_toxicity, op9_packing, op10_near_dedup)
+    for f in (op1_decontamination, op2_language_id, op3_token_files, op4_pii, op7_exact_dedup, op8_toxicity, op9_packing, op10_near_dedup)
 }
 
 ORACLE: dict[str, str] = {

@@ -8,13 +8,8 @@ from pyspark.sql import functions as F
 _CHUNK = 256
 
 
-def _before(lengths: Column) -> Column:
-    """For each place the sum of what is before it; sums of chunks first, so long arrays don't cost their square."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    n = F.size(lengths)
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int")), lambda c: total(F.slice(lengths, c * _CHUNK + 1, F.lit(_CHUNK))))
-    heads = F.transform(chunks, lambda _, c: total(F.slice(chunks, F.lit(1), c)))
-    return F.transform(lengths, lambda _, i: F.get(heads, F.floor(i / _CHUNK).cast("int")) + total(F.slice(lengths, F.floor(i / _CHUNK).cast("int") * _CHUNK + 1, i % _CHUNK)))
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
 
 def with_matches(df: DataFrame, text: str, patterns: dict[str, str], gates: dict[str, Column]) -> DataFrame:
@@ -27,12 +22,25 @@ def with_matches(df: DataFrame, text: str, patterns: dict[str, str], gates: dict
         df = df.withColumn(f"{name}_m", F.when(gates[name], F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
     for name, pattern in patterns.items():
         df = df.withColumn(f"{name}_p", F.when(F.size(f"{name}_m") > 0, F.split(text, pattern, -1)).otherwise(none))
-    for name in patterns:  # a piece and a match take turns
+    # What is before each match: a piece and a match take turns. Sums of chunks come first, so that a text with many
+    # matches doesn't cost their square. Every column that a lambda reads is read twice: else it would be moved into it.
+    for name in patterns:
         both = F.zip_with(F.slice(f"{name}_p", F.lit(1), F.size(f"{name}_m")), f"{name}_m", lambda p, m: F.char_length(p) + F.char_length(m))
-        df = df.withColumn(f"{name}_s", F.when(F.col(f"{name}_p").isNotNull(), _before(both)))
+        df = df.withColumn(f"{name}_l", F.when(F.col(f"{name}_p").isNotNull(), both))
+    for name in patterns:
+        lengths = F.col(f"{name}_l")
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _CHUNK).cast("int")), lambda c: _total(F.slice(lengths, c * _CHUNK + 1, F.lit(_CHUNK))))
+        df = df.withColumn(f"{name}_c", F.when(lengths.isNotNull(), chunks))
+    for name in patterns:
+        chunks = F.col(f"{name}_c")
+        df = df.withColumn(f"{name}_h", F.when(chunks.isNotNull(), F.transform(chunks, lambda _, c: _total(F.slice(chunks, F.lit(1), c)))))
+    for name in patterns:
+        lengths, heads = F.col(f"{name}_l"), F.col(f"{name}_h")
+        chunk = lambda i: F.floor(i / _CHUNK).cast("int")
+        df = df.withColumn(f"{name}_s", F.when(heads.isNotNull(), F.transform(lengths, lambda _, i: F.get(heads, chunk(i)) + _total(F.slice(lengths, chunk(i) * _CHUNK + 1, i % _CHUNK)))))
     for name in patterns:
         at = F.transform(f"{name}_m", lambda m, i: F.struct((F.get(f"{name}_s", i) + F.char_length(F.get(f"{name}_p", i))).alias("start"), m.alias("value")))
         found = F.transform(at, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.char_length(x["value"])).alias("end"), x["value"].alias("value")))
         empty = F.array().cast("array<struct<start:int, end:int, value:string>>")
         df = df.withColumn(name, F.when(F.col(f"{name}_s").isNotNull(), found).otherwise(empty))
-    return df.drop(*(f"{n}_{x}" for n in patterns for x in "mps"))
+    return df.drop(*(f"{n}_{x}" for n in patterns for x in "mplchs"))

@@ -169,25 +169,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactu
     return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-6}, float(np.clip(b, -30, 30)))
 
 
+class _Known(dict):
+    """The features of a word that the model uses; a new word's are looked up once."""
+
+    def __init__(self, used: set[bytes]) -> None:
+        self.used = used
+
+    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
+        got = self[word] = tuple(f for f in features(word) if f in self.used)
+        return got
+
+
 class Scorer:
-    """logits(texts): a text's sum of weights; the words' known features are kept, up to a bound."""
+    """logits(texts): each text's bias and sum of weights. Words' features are kept, up to a bound."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
-        self.used = {f.removeprefix(b"2") if f[:1] == b"2" else f for f in model.weights}
+        self.model = model
+        self.known = _Known({f.removeprefix(b"2") for f in model.weights})
 
     def logits(self, texts: list[str | None]) -> list[float]:
-        out, known, weights = [], self.known, self.model.weights
+        out, weights = [], self.model.weights
+        if len(self.known) > 300_000:
+            self.known.clear()
+        get = self.known.__getitem__
         for text in texts:
-            words = words_of(text)
-            there = set(words)
-            for w in there - known.keys():
-                known[w] = tuple(f for f in features(w) if f in self.used)
-            hit = {w for w in there if known[w]}
-            found = text_features([w for w in words if w in hit], known.__getitem__) if hit else ()
-            out.append(self.model.bias + sum(weights.get(f, 0.0) for f in sorted(found)))
-            if len(known) > 200_000:
-                known.clear()
+            hits = [w for w in words_of(text) if get(w)]
+            out.append(self.model.bias + sum(weights.get(f, 0.0) for f in sorted(text_features(hits, get))) if hits else self.model.bias)
         return out
 
 
