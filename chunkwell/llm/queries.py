@@ -39,6 +39,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(table(spark, sf_dir, "documents")))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import labelled_findings, scan, train
+
+    return scan(table(spark, sf_dir, "documents"), train(labelled_findings(spark)), path="source")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import duplicates
 
@@ -68,7 +80,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_language_id, op3_token_files, op4_pii, op7_exact_dedup, op8_toxicity, op9_packing, op10_near_dedup)
+    for f in (op1_decontamination, op2_language_id, op3_token_files, op4_pii, op5_html_text, op6_secrets, op7_exact_dedup, op8_toxicity, op9_packing, op10_near_dedup)
 }
 
 ORACLE: dict[str, str] = {
