@@ -20,14 +20,19 @@ def chunker_signature(sizes: tuple[int, int, int] = (MIN_SIZE, AVG_SIZE, MAX_SIZ
     return {"chunker_id": CHUNKER_ID, "chunker_min_size": str(sizes[0]), "chunker_avg_size": str(sizes[1]), "chunker_max_size": str(sizes[2])}
 
 
+def _fixed(x: Column, digits: int) -> Column:
+    """x with so many digits; halves go to the even digit, as printf does and format_string alone does not."""
+    return F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits))
+
+
 def format_bytes(n: Column) -> Column:
     """From a MiB `x.y MB`, from a KiB `x.y KB`, else `n bytes`."""
-    return F.when(n >= 1 << 20, F.format_string("%.1f MB", n / float(1 << 20))).when(n >= 1 << 10, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%d bytes", n.cast("bigint")))
+    return F.when(n >= 1 << 20, F.concat(_fixed(n / float(1 << 20), 1), F.lit(" MB"))).when(n >= 1 << 10, F.concat(_fixed(n / 1024.0, 1), F.lit(" KB"))).otherwise(F.format_string("%d bytes", n.cast("bigint")))
 
 
 def format_duration(seconds: Column) -> Column:
     """Under a minute `x.ys`; else minutes and seconds with the same in brackets."""
-    short = F.format_string("%.1fs", seconds)
+    short = F.concat(_fixed(seconds, 1), F.lit("s"))
     return F.when(seconds < 60, short).otherwise(F.concat(F.format_string("%dm%02ds (", F.floor(seconds / 60), F.floor(seconds % 60)), short, F.lit(")")))
 
 
@@ -35,12 +40,12 @@ def human_size(n: Column) -> Column:
     """Two decimals with the largest unit that leaves 1 or more, from B to PB."""
     unit = F.least(F.when(n < 1024, F.lit(0)).otherwise(F.floor(F.log(2.0, n.cast("double")) / 10)).cast("int"), F.lit(5))
     exact = F.when(F.pow(F.lit(1024.0), unit + 1) <= n, F.least(unit + 1, F.lit(5))).otherwise(unit)
-    return F.format_string("%.2f %s", n / F.pow(F.lit(1024.0), exact), F.element_at(F.array(*map(F.lit, ["B", "KB", "MB", "GB", "TB", "PB"])), exact + 1))
+    return F.concat_ws(" ", _fixed(n / F.pow(F.lit(1024.0), exact), 2), F.element_at(F.array(*map(F.lit, ["B", "KB", "MB", "GB", "TB", "PB"])), exact + 1))
 
 
 def throughput(n: Column, seconds: Column) -> Column:
     rate = n / seconds
-    return F.when((seconds <= 0) | (n <= 0), F.lit("-")).when(rate >= 1 << 20, F.format_string("%.1f MB/s", rate / float(1 << 20))).when(rate >= 1 << 10, F.format_string("%.1f KB/s", rate / 1024.0)).otherwise(F.format_string("%.0f B/s", rate))
+    return F.when((seconds <= 0) | (n <= 0), F.lit("-")).when(rate >= 1 << 20, F.concat(_fixed(rate / float(1 << 20), 1), F.lit(" MB/s"))).when(rate >= 1 << 10, F.concat(_fixed(rate / 1024.0, 1), F.lit(" KB/s"))).otherwise(F.concat(_fixed(rate, 0), F.lit(" B/s")))
 
 
 def format_time(epoch: Column) -> Column:

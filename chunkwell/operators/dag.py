@@ -25,10 +25,10 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 def history(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """start, commit_hash: every commit reachable from each start (commit_hash), itself included.
 
-    edges: (commit_hash, parent_hash). A frontier that steps back along jump edges of doubling length; it ends when
-    nothing new is found, so cycles end too.
+    edges: (commit_hash, parent_hash). After round k every commit less than 2**k steps back is known, by jumps of
+    exactly 2**(k - 1) steps; it ends when a round finds nothing new, so cycles end too.
     """
-    jumps = edges.select(F.col("commit_hash").alias("a"), F.col("parent_hash").alias("b")).where("a is not null and b is not null").distinct()
+    jumps = _written(edges.select(F.col("commit_hash").alias("a"), F.col("parent_hash").alias("b")).where("a is not null and b is not null").distinct(), "jumps")
     seen = _written(starts.select(F.col("commit_hash").alias("start"), "commit_hash").distinct(), "seen")
     count = seen.count()
     while True:
@@ -38,8 +38,7 @@ def history(starts: DataFrame, edges: DataFrame) -> DataFrame:
         if now == count:
             return seen
         count = now
-        second = jumps.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        jumps = _written(jumps.unionAll(jumps.join(second, "b").select("a", F.col("c").alias("b"))).distinct(), "jumps")
+        jumps = _written(jumps.join(jumps.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct(), "jumps")
 
 
 def commit_history(commits: DataFrame, starts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def fsck(active: DataFrame, recorded: DataFrame, stored: DataFrame, statuses: Da
     sides = active.select("chunk_hash", F.lit(1).alias("a"), F.lit(0).alias("r"), F.lit(0).alias("s")).unionAll(recorded.select("chunk_hash", F.lit(0), F.lit(1), F.lit(0))).unionAll(stored.select("chunk_hash", F.lit(0), F.lit(0), F.lit(1)))
     each = sides.groupBy("chunk_hash").agg(F.max("a").alias("a"), F.max("r").alias("r"), F.max("s").alias("s"))
     bad = statuses.agg(F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "corrupt").alias("corrupt"))
-    sums = each.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("referenced"), F.coalesce(F.sum("s"), F.lit(0)).alias("stored"), F.count_if("r = 1 and a = 0").alias("orphans"), F.count_if("r = 0 and (s = 1 or a = 1)").alias("unrecorded"))
+    sums = each.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("referenced"), F.coalesce(F.sum("s"), F.lit(0)).alias("stored"), F.count_if(F.expr("r = 1 and a = 0")).alias("orphans"), F.count_if(F.expr("r = 0 and (s = 1 or a = 1)")).alias("unrecorded"))
     return sums.crossJoin(bad).select("referenced", "stored", "missing", "corrupt", "orphans", "unrecorded")  # one row each
 
 
