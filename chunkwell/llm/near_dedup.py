@@ -4,8 +4,10 @@ shingle sets, and connected components by alternating large-star and small-star.
 Rows whose shingle sets are equal form a class and only its representative goes on, so exact copies cost one row a
 task however many there are. In each band's bucket the members are first tested against one star only: a number of
 pairs that is linear in the rows. Their links give components. Buckets whose members lie in several components are then searched
-in full: signatures are compared in tiles of a bounded number of rows, and only pairs of different components whose
-signatures agree enough are confirmed on the texts. No pair is emitted for the members of one component.
+in full, in tiles of a bounded number of rows: sketches are compared, and the most alike pairs of different components
+are confirmed on the texts. Where a row had more of them than are given, its buckets are searched once more by exact
+counts on full sets, and a row gives one link to each other component: enough for the components, and linear in the
+rows. No pair is emitted for the members of one component.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ BINS, SLACK = 1024, 0.09
 COARSE, COARSE_SLACK, COARSE_LEAST = 256, 0.25, 80
 #: Rows of a bucket compared at a time.
 TILE = 256
-#: In the first full search a row gives its most alike rows of other components in a tile; if any had more, a second gives all.
-FIRST = 8
+#: In the sketched search a row gives its most alike rows of other components in a tile; where any had more, the exact
+#: search goes through all of the bucket. Shingles that it counts at a time.
+FIRST, COLUMNS = 8, 1 << 14
 
 
 def shingle_words(text: str | None) -> list[bytes]:
@@ -231,56 +234,110 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return full.mapInArrow(check, "a long, b long")
 
 
-def _tiles(mixed: DataFrame, texts: DataFrame, percent: int, bound: int | None) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose sketches agree enough; a null one if a row had more than bound.
+def _tiles(mixed: DataFrame, contents: DataFrame, compare) -> DataFrame:
+    """Pairs (a, b) that compare(one, two) finds between rows of a bucket that aren't of its most frequent component.
 
-    mixed: key, rep, component, major (of the bucket's most frequent component). Rows of other components are cut
-    into tiles; each is compared with itself, with the later ones, and with the tiles of the major component.
+    mixed: key, rep, component, major (of the bucket's most frequent component); contents: rep, data. Rows of other
+    components are cut into tiles; each meets itself, the later ones, and the tiles of the major component. A row of
+    a tile is (rep, component, data).
     """
     sizes = mixed.groupBy("key").agg(F.count_if(~F.col("major")).alias("o"), F.count_if("major").alias("m")).selectExpr("key", f"cast(ceil(o / {TILE}) as int) no", f"cast(ceil(m / {TILE}) as int) nm")
     placed = mixed.join(sizes, "key").withColumn("t", F.expr("cast(pmod(xxhash64(rep, key), if(major, nm, no)) as int)"))
     # a pair of tiles is (i, j): other tiles i <= j, or other tile i and major tile -1 - j
     spread = F.expr("if(major, transform(sequence(0, no - 1), i -> named_struct('i', i, 'j', -1 - t)), concat(transform(sequence(0, no - 1), x -> named_struct('i', least(x, t), 'j', greatest(x, t))), transform(if(nm > 0, sequence(0, nm - 1), cast(array() as array<int>)), x -> named_struct('i', t, 'j', -1 - x))))")
     rows = placed.select("key", F.explode(spread).alias("p"), "t", "major", "rep", "component").select("key", "p.i", "p.j", "t", "major", "rep", "component")
-    rows = rows.join(texts.select("rep", "fine"), "rep").select("key", "i", "j", "t", "major", "rep", "component", "fine")
+    rows = rows.join(contents.select("rep", "data"), "rep").select("key", "i", "j", "t", "major", "rep", "component", "data")
 
-    def compare(batches: Iterator) -> Iterator:
-        import numpy as np
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        least, held, at = percent / 100 - SLACK, [], None
+        held, at = [], None
 
-        def pairs() -> list[tuple]:
+        def pairs() -> set[tuple]:
             i, j = at[1], at[2]
-            one = [r for r in held if not r[1] and r[0] == i]
-            two = one if i == j else [r for r in held if (r[1] if j < 0 else not r[1] and r[0] == j)]
-            if not one or not two:
-                return []
-            table, c2, found = np.frombuffer(b"".join(r[4] for r in two), np.uint8).reshape(len(two), -1), np.array([r[3] for r in two]), []
-            for r in one:
-                other = np.flatnonzero(c2 != r[3])
-                near, share = alike(np.frombuffer(r[4], np.uint8), table[other], least) if len(other) else (other, None)
-                if bound and len(near) > bound:
-                    near = near[np.argsort(-share, kind="stable")[:bound]]
-                    found.append((None, None))
-                found += [(min(r[2], two[x][2]), max(r[2], two[x][2])) for x in other[near]]
-            return found
-
-        def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*set(out)) if out else [[], []])], ["a", "b"])
+            one = [r[2:] for r in held if not r[1] and r[0] == i]
+            two = one if i == j else [r[2:] for r in held if (r[1] if j < 0 else not r[1] and r[0] == j)]
+            return set(compare(one, two)) if one and two else set()
+
+        def batch_of(out: set[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[], []])], ["a", "b"])
 
         for batch in batches:
-            out = []
+            out: set[tuple] = set()
             for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, i, j) != at:
-                    out += pairs() if held else []
+                    out |= pairs() if held else set()
                     held, at = [], (key, i, j)
                 held.append(row)
             yield batch_of(out)
         if held:
             yield batch_of(pairs())
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def _by_sketch(percent: int):
+    """The FIRST most alike rows of other components for each row of a tile; (rep, None) for a row that had more."""
+
+    def compare(one: list[tuple], two: list[tuple]) -> Iterator[tuple]:
+        import numpy as np
+
+        table, component = np.frombuffer(b"".join(r[2] for r in two), np.uint8).reshape(len(two), -1), np.array([r[1] for r in two])
+        for rep, own, data in one:
+            other = np.flatnonzero(component != own)
+            if not len(other):
+                continue
+            near, share = alike(np.frombuffer(data, np.uint8), table[other], percent / 100 - SLACK)
+            if len(near) > FIRST:
+                near = near[np.argsort(-share, kind="stable")[:FIRST]]
+                yield rep, None
+            for x in other[near]:
+                yield min(rep, two[x][0]), max(rep, two[x][0])
+
+    return compare
+
+
+def _by_sets(percent: int):
+    """For each row of a tile one linked row of each other component, by exact counts of common shingles."""
+
+    def compare(one: list[tuple], two: list[tuple]) -> Iterator[tuple]:
+        import numpy as np
+
+        a, b = ([np.frombuffer(r[2], np.uint64) for r in rows] for rows in (one, two))
+        n = [np.array([len(s) for s in x], np.int64) for x in (a, b)]
+        every, place = np.unique(np.concatenate(a + b), return_inverse=True)
+        row = np.repeat(np.arange(len(a) + len(b)), np.concatenate(n))
+        common = np.zeros((len(a), len(b)), np.float32)
+        order = np.argsort(place, kind="stable")
+        place, row = place[order], row[order]
+        for start in range(0, len(every), COLUMNS):
+            x, z = np.searchsorted(place, [start, start + COLUMNS])
+            there = np.zeros((len(a) + len(b), min(COLUMNS, len(every) - start)), np.float32)
+            there[row[x:z], place[x:z] - start] = 1
+            common += there[: len(a)] @ there[len(a) :].T
+        common = common.astype(np.int64)
+        component = np.array([r[1] for r in two])
+        linked = 100 * common >= percent * (n[0][:, None] + n[1][None, :] - common)
+        linked &= np.array([r[1] for r in one])[:, None] != component[None, :]
+        for i in np.flatnonzero(linked.any(axis=1)):
+            places = np.flatnonzero(linked[i])
+            for x in places[np.unique(component[places], return_index=True)[1]]:
+                yield min(one[i][0], two[x][0]), max(one[i][0], two[x][0])
+
+    return compare
+
+
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """rep, data: the sorted hashes of each text's shingles."""
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        hashes = Hashes(k)
+        for b in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashes.of(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["rep", "data"])
+
+    return texts.select("rep", "text").mapInArrow(read, "rep long, data binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -306,17 +363,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     links = verified(held.where("rep != star").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct())
     joined, _ = materialise(components(links), "components")
-    for bound in (FIRST, None):
+    more = None
+    for exact in (False, True):
         labelled = held.join(joined, held.rep == joined.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         counts = labelled.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds"), F.sum("n").alias("rows"))
         several = counts.where("kinds > 1 and rows > 2").selectExpr("key", "top.component most")  # a bucket of two was tested as star and member
+        if exact:
+            several = several.join(held.join(more, "rep", "left_semi").select("key"), "key", "left_semi")
         mixed, _ = materialise(labelled.join(several, "key").select("key", "rep", "component", F.expr("component = most").alias("major")), "mixed")
-        pairs, _ = materialise(_tiles(mixed, texts, percent, bound), "pairs")
-        more = verified(pairs.where("a is not null"))
-        if not more.isEmpty():
-            links = links.unionAll(more)
+        if exact:
+            contents, _ = materialise(_sets(texts.join(mixed.select("rep").distinct(), "rep", "left_semi"), k), "sets")
+            pairs, _ = materialise(_tiles(mixed, contents, _by_sets(percent)), "pairs")
+        else:
+            pairs, _ = materialise(_tiles(mixed, texts.select("rep", F.col("fine").alias("data")), _by_sketch(percent)), "pairs")
+        found = verified(pairs.where("b is not null"))
+        if not found.isEmpty():
+            links = links.unionAll(found)
             joined, _ = materialise(components(links), "components")
-        if pairs.where("a is null").isEmpty():
+        more = pairs.where("b is null").selectExpr("a rep")
+        if more.isEmpty():
             break
     classes = reps.select("d1", "d2", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     classes, _ = materialise(classes, "classes")
