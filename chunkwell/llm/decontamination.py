@@ -247,7 +247,7 @@ def contamination_joined(docs: DataFrame, benchmark: DataFrame, window: int = WI
         near = places.join(ranked.select("window", "shingle", "k", "offset"), ["shingle", "k"]).withColumn("start", F.col("at") - F.col("offset")).where("start >= 0").select("row", "start", "window")
         sure, _ = materialise(near.join(rows.select("row", "words"), "row").where(F.slice("words", F.col("start") + 1, F.size("window")) == F.col("window")).select("row", "start", "window"), "sure")
         n_hit = sure.select("row", F.explode(F.sequence("start", F.col("start") + F.size("window") - 1)).alias("w")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-        names = sure.select("row", "window").distinct().join(windows, "window").select("row", F.explode("items").cast("string").alias("item")).distinct().groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+        names = sure.select("row", "window").distinct().join(windows, "window").select("row", F.explode(F.col("items").cast("array<string>")).alias("item")).distinct().groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
         hits = n_hit.join(names, "row")
     out = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words")).join(hits, "row", "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")

@@ -180,10 +180,10 @@ def _bloom(ids: DataFrame, column: str):
 
 def _candidate_texts(docs: DataFrame, reps: DataFrame, ids: DataFrame, k: int, once: bool) -> DataFrame:
     """rep, text and fine (its sketch) of the representatives in ids; a Bloom filter leaves the other texts where they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids, "rep"))
-    rows = docs.selectExpr("cast(doc_id as long) rep", "cast(text as string) text").where("rep is not null and text is not null")
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids, "least"))
+    rows = docs.selectExpr("cast(doc_id as long) least", "cast(text as string) text").where("least is not null and text is not null")
     size = len(shared.value) * 64
-    rows = rows.select("rep", F.pmod(F.xxhash64("rep", F.lit(0)), F.lit(size)).alias("p"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(size)).alias("q"), "text")
+    rows = rows.select("least", F.pmod(F.xxhash64("least", F.lit(0)), F.lit(size)).alias("p"), F.pmod(F.xxhash64("least", F.lit(1)), F.lit(size)).alias("q"), "text")
 
     def read(batches: Iterator) -> Iterator:
         import numpy as np
@@ -199,12 +199,13 @@ def _candidate_texts(docs: DataFrame, reps: DataFrame, ids: DataFrame, k: int, o
             sets = [hashes.of(t) for t in batch.column(3).to_pylist()]
             if sets:
                 d1, d2 = zip(*map(digest, sets))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), batch.column(3), pa.array([sketch(x) for x in sets], pa.binary())], ["rep", "d1", "d2", "text", "fine"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), batch.column(3), pa.array([sketch(x) for x in sets], pa.binary())], ["least", "d1", "d2", "text", "fine"])
 
-    found = rows.mapInArrow(read, "rep long, d1 long, d2 long, text string, fine binary")
-    if not once:  # a repeated doc_id: its row with the representative's own set
-        found = found.join(reps.select("rep", "d1", "d2"), ["rep", "d1", "d2"], "left_semi").dropDuplicates(["rep"])
-    return found.select("rep", "text", "fine")
+    found = rows.mapInArrow(read, "least long, d1 long, d2 long, text string, fine binary")
+    if once:
+        return found.select(F.col("least").alias("rep"), "text", "fine")
+    # of a repeated doc_id the row with the class's own set
+    return found.join(reps.select("least", "d1", "d2", "rep"), ["least", "d1", "d2"]).dropDuplicates(["rep"]).select("rep", "text", "fine")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -351,12 +352,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     prepare(docs.sparkSession)
     signed, _ = materialise(signatures(docs, k), "signed")
-    reps, _ = materialise(signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
+    # a class is known by its smallest doc_id, or where doc_ids repeat by a number of its own
+    once = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
+    reps, _ = materialise(classes.withColumn("rep", F.col("least") if once else F.monotonically_increasing_id()), "reps")
     bands = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * 4 * ROWS + 1, F.lit(4 * ROWS))))).alias("key"))
     stars = bands.groupBy("key").agg(F.min("rep").alias("star"), F.max("rep").alias("last")).where("star != last").select("key", "star")
     held, _ = materialise(bands.join(stars, "key"), "buckets")
-    once = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    texts, _ = materialise(_candidate_texts(docs, reps, held.select("rep").distinct(), k, once), "texts")
+    texts, _ = materialise(_candidate_texts(docs, reps, reps.join(held.select("rep").distinct(), "rep", "left_semi"), k, once), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         return materialise(_confirm(pairs, texts, k, percent), "links")[0]
@@ -383,8 +386,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         more = pairs.where("b is null").selectExpr("a rep")
         if more.isEmpty():
             break
-    classes = reps.select("d1", "d2", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    classes, _ = materialise(classes, "classes")
+    label = F.coalesce("component", "rep")
+    if not once:
+        least = reps.join(joined, F.col("rep") == F.col("node"), "left").groupBy(label.alias("component")).agg(F.min("least").alias("smallest"))
+        joined = reps.join(joined, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("node"), label.alias("component")).join(least, "component").select("node", F.col("smallest").alias("component"))
+    classes, _ = materialise(reps.select("d1", "d2", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("d1", "d2", label.alias("component_id")), "classes")
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

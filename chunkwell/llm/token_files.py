@@ -27,7 +27,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """Tokenise documents (doc_id, text) and write them to path in ascending doc_id order.
 
     A null text is empty: the end id alone. Null doc_ids come first. Rows with one doc_id are ordered by their
-    number of ids, then by ids. An empty table writes no segments. Other columns are ignored. A document longer
+    number of ids, then by the bytes of the ids. An empty table writes no segments. Other columns are ignored. A document longer
     than a segment is split over blocks of its own segment.
     """
     spark = docs.sparkSession

@@ -1,0 +1,243 @@
+"""Decontamination, language, tokens, packing, personal data, HTML and secrets against plain definitions."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from chunkwell.llm import common, decontamination, html_text, language_id, packing, pii, rans, secrets, token_files, tokens
+
+D = "/root/testdata/sf0.001"
+EXTRA = [(900001, None), (900002, ""), (900003, " \n"), (900004, "É é ÀÖß ½ it's WE'LL <|endoftext|> 日本語 a\x85b"), (900005, "word " * 30000), (None, "null id"), (900006, "same"), (900006, "same"), (900006, "other")]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return [(r.doc_id, r.text) for r in common.table(spark, D, "documents").collect()] + EXTRA
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    """With clashing extra columns."""
+    return spark.createDataFrame([(d, t, "k", 1, "w") for d, t in rows], "doc_id long, text string, keep_id string, n int, words string").repartition(4)
+
+
+def words13(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def contaminated(rows, items):
+    windows = collections.defaultdict(set)
+    for item, text in items:
+        w = words13(text) if item is not None else []
+        n = min(13, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            windows[tuple(w[i : i + n])].add(item)
+    lengths, out = {len(w) for w in windows}, []
+    for doc, text in rows:
+        w, hit, found = words13(text), set(), set()
+        for n in lengths:
+            for i in range(len(w) - n + 1):
+                if (k := tuple(w[i : i + n])) in windows:
+                    hit |= set(range(i, i + n))
+                    found |= windows[k]
+        ids = ",".join(sorted(map(str, found)))
+        out.append((doc, len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+def ordered(rows):
+    return sorted((tuple(r) for r in rows), key=lambda r: tuple(str(x) for x in r))
+
+
+def test_decontamination_by_both_ways(spark, docs, rows):
+    items = [(r.item_id, r.text) for r in common.table(spark, D, "benchmark").collect()]
+    items += [(5000, "word word"), (5001, "word"), (5001, "Same"), (5002, None), (5003, "!!"), (None, "word word word"), (5004, " ".join(words13(rows[3][1])[:20]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = ordered(contaminated(rows, items))
+    assert ordered(decontamination.contamination(docs, bench).collect()) == want
+    assert ordered(decontamination.contamination(docs, bench, max_words=1).select(*[c.split()[0] for c in decontamination.RESULT.split(", ")]).collect()) == want
+    bad = {r[0] for r in want if r[5]}
+    for limit in (decontamination.MAX_WORDS, 1):
+        kept = decontamination.keep_clean(docs, bench, max_words=limit)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} - {900006} == {d for d, _ in rows} - bad - {900006}
+    none = decontamination.contamination(docs, bench.limit(0))
+    assert none.where("n_hit > 0 or contaminated").count() == 0 and none.count() == len(rows)
+    assert decontamination.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_language(spark):
+    t = common.table(spark, "/root/testdata/sf0.01", "documents")
+    held = common.F.pmod(common.F.crc32(common.F.col("doc_id").cast("string").cast("binary")), common.F.lit(4)) == 2
+    model = language_id.train(t.where(~held))
+    got = language_id.predict(t.where(held), model).join(t.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
+    assert all(0 <= r.score <= 1 for r in got)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (4, "日本"), (None, "the and of that"), (6, "the of and " * 200000)], "doc_id long, text string")
+    by = {r.doc_id: r.lang_pred for r in language_id.predict(odd, model).collect()}
+    assert by[1] == by[2] == by[3] == "und" and by[4] in model.languages and by[6] == "en"
+    empty = language_id.train(t.limit(0))
+    assert language_id.predict(odd, empty).where("lang_pred != 'und'").count() == 0
+
+
+def test_bloom_returns_all_languages_of_a_gram(spark):
+    t = spark.createDataFrame([(i, "shared words here", lang) for i in range(20) for lang in ("a", "b")] + [(100 + i, "xyzzy plugh", "a") for i in range(20)], "doc_id long, text string, lang string")
+    m = language_id.train(t)
+    mask = lambda g: int(np.bitwise_and.reduce([m.table[language_id._slots(np.array([g]), k)][0] for k in range(language_id.HASHES)]))
+    codes = language_id._grams(b"xyzzy")
+    assert all(mask(c) & 1 for c in codes)
+
+
+def reference_ids(path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    return lambda x: t.encode(x or "", add_special_tokens=False).ids
+
+
+def test_tokens_equal_the_library(rows):
+    path = tokens.default_tokenizer()
+    e, want = tokens.Encoder(path), reference_ids(path)
+    r = random.Random(1)
+    letters = [chr(c) for c in range(0x180)] + list("Σςİ日’—😀́ ​　") + ["'s", "'ll", " ", "\n"] * 20 + ["<|endoftext|>"]
+    texts = [t for _, t in rows] + ["".join(r.choices(letters, k=r.randint(1, 14))) for _ in range(4000)]
+    for t, got in zip(texts, e.ids(texts)):
+        assert np.frombuffer(got, "<u2").tolist() == want(t), repr(t)
+
+
+def test_packing(spark, docs, rows):
+    want = reference_ids(tokens.default_tokenizer())
+    full = collections.defaultdict(list)
+    for d, t in rows:
+        full[d].append(want(t) + [2])
+    for window in (4096, 64):
+        got = packing.pack(docs, window=window).collect()
+        spots = sorted((r.sequence_id, r.offset, r.length) for r in got)
+        at = 0
+        for s, o, n in spots:  # gapless, all but the last full
+            assert s * window + o == at and o + n <= window
+            at += n
+        assert at == sum(len(x) for xs in full.values() for x in xs)
+        for r in got:
+            assert any(r.doc_tokens == len(x) and zlib.crc32(np.array(x[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for x in full[r.doc_id])
+        last = at % window or window
+        assert {r.padded for r in got if r.sequence_id == spots[-1][0]} == {packing.padded_length(last, window)}
+    assert packing.pack(docs.limit(0)).count() == 0
+    assert [packing.padded_length(n, 4096) for n in (1, 3, 1024, 4095, 4096)] == [1, 4096, 1024, 4096, 4096]
+
+
+def test_token_files_round_trip(spark, docs, rows):
+    want = reference_ids(tokens.default_tokenizer())
+    expected = sorted((((d is not None, d or 0), len(want(t)) + 1, tuple(want(t)) + (1,)) for d, t in rows), key=lambda x: (x[:2], np.array(x[2], "<u2").tobytes()))
+    for shards in (1, 5):
+        path = common.scratch_path(spark, "test-tokens")
+        token_files.write_tokens(docs, path, shards=shards)
+        got = token_files.read_tokens(spark, path).orderBy("start").collect()
+        at = 0
+        for r, (key, n, ids) in zip(got, expected, strict=True):
+            assert r.start == at and r.n_tokens == n and (r.doc_id is not None, r.doc_id or 0) == key
+            assert tuple(np.frombuffer(r.ids, "<u4").tolist()) == ids
+            at += n
+    path = common.scratch_path(spark, "test-tokens")
+    token_files.write_tokens(docs.limit(0), path)
+    assert token_files.read_tokens(spark, path).count() == 0
+
+
+def test_rans_blocks():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 63, 64, 1000, 70_000, 300_000):
+        ids = np.minimum(r.zipf(1.3, n), 60_000).astype("<u4")
+        if n == 0:
+            continue
+        table = rans.Table.load(rans.Table.of(ids).dump())
+        block = rans.encode(ids, table)
+        assert (rans.decode(block, table) == ids).all()
+        for _ in range(5):
+            a, b = sorted(r.integers(0, n + 1, 2))
+            assert (rans.decode(block, table, int(a), int(b)) == ids[a:b]).all()
+    assert len(block["marks"]) > 1 and len(block["words"]) < n * 2
+    bad = bytearray(block["words"])
+    bad[100] ^= 1
+    with pytest.raises(rans.BadChecksum):
+        rans.decode(block | {"words": bytes(bad)}, table)
+
+
+def luhn(d):
+    return sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def base_spans(t):
+    out = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out += [(m.start(), 2, "card", m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return sorted(out + [(m.start(), 3, "phone", m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m[0])) <= 15])
+
+
+def test_pii(spark, rows):
+    r = random.Random(3)
+    parts = [*"ab.@-+_ 0123456789().", "é", "😀", "\n", "@x.y", "4111 1111 1111 1111", "+1 234 567 8901", "1.2.3.4", "255.0.0256.1", "0255.1.1.1", "a@b.c_d@e.f"]
+    made = [(10**7 + i, "".join(r.choices(parts, k=r.randint(0, 60)))) for i in range(1500)]
+    long = [(10**8, "a" * 100000), (10**8 + 1, "1." * 30000), (10**8 + 2, "x@y" + ".z" * 30000), (10**8 + 3, "7" * 50000), (10**8 + 4, "1.2.3.4 " * 2000)]
+    every = [x for x in rows if x[0] != 900006] + made + long
+    got = {x.doc_id: x for x in pii.digest(pii.find(spark.createDataFrame(every, "doc_id long, text string").repartition(4))).collect()}
+    for d, t in every:
+        b = base_spans(t or "")
+        assert got[d].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{e}" for a, _, k, e in b).encode()).hexdigest(), (d, (t or "")[:200])
+        assert [got[d][f"n_{k}"] for k in pii.BASE] == [sum(x[2] == k for x in b) for k in pii.BASE]
+
+
+def test_pii_added_kinds_and_redaction(spark):
+    t = "IBAN DE89 3704 0044 0532 0130 00, not DE88 3704 0044 0532 0130 00; ssn 123-45-6789; 000-12-3456; mail a@b.co"
+    df = spark.createDataFrame([(1, t), (2, "code 123-45-6789 alone"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digest(pii.find(df)).collect()}
+    assert (got[1].n_iban, got[1].n_ssn, got[1].n_email, got[2].n_ssn, got[3].spans) == (1, 1, 1, 0, "")
+    text = {r.doc_id: r.text for r in pii.redact(pii.find(df)).collect()}
+    assert text[1] == "IBAN [iban], not DE88 3704 0044 0532 0130 00; ssn [ssn]; 000-12-3456; mail [email]" and text[2] == "code 123-45-6789 alone" and text[3] == ""
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav>
+<!-- ad --><div class="ad">Buy now</div><article><h1>Head &amp; line</h1><p>First <b>bold</b>&nbsp;text<br>after a break.<p>Short.<aside>related things</aside>
+<div class="share">share it</div><p>Last &lt;one&gt; &#233;</p></article><section id="comments"><p>I think so too, and so on and so on.</p></section><footer>&copy; 2020</footer></body></html>"""
+
+
+def test_html(spark):
+    want = "Head & line\n\nFirst bold text after a break.\n\nShort.\n\nLast <one> é"
+    body = "word " * 60
+    plain = f"<body><div class='menu'>Home | About</div><div><h2>Title</h2><p>{body}</p><p>Short.</p><p>{body}</p></div><div class='comments'><p>{body}</p></div><form>Name <input></form></body>"
+    rows = [(1, "u", PAGE), (2, "u", None), (3, "u", ""), (4, "u", plain), (5, "u", "just text"), (6, "u", '<a title="x>y">q</a> <b title="unclosed>r'), (7, "u", "<" * 100000), (8, "u", '<a "' * 30000), (None, None, PAGE)]
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].text == got[None].text == want and got[1].n_chars == len(want)
+    assert got[2].text == got[3].text == "" and got[5].text == "just text" and got[6].text == "q r"
+    assert got[4].text == "\n\n".join(["Title", body.strip(), "Short.", body.strip()])
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_of_all_pages(spark):
+    import html
+
+    for r in html_text.extract(common.table(spark, D, "pages")).join(common.table(spark, D, "pages").select("page_id", "html"), "page_id").collect():
+        inside = re.search("<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("</?(?:p|h1|div)[^>]*>", inside)]
+        assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+def test_secrets(spark):
+    findings = secrets.labelled_findings(spark, 1400)
+    trees = secrets.train(findings.where("pmod(xxhash64(value), 4) != 0"))
+    held = secrets.features(findings.where("pmod(xxhash64(value), 4) = 0"), "path").withColumn("hit", secrets.vote(trees) >= secrets.LEAST)
+    assert held.where("hit != (label = 1.0)").count() <= 0.03 * held.count()
+    h = hashlib.sha1(b"x").hexdigest()
+    rows = [(1, f'é a token = "{h}" b'), (2, f"commit {h} fixes it"), (3, "internationalization_is_long"), (4, None), (5, ""), (6, "x" * 200000), (7, f'password = "{h[:12]}Zq"'), (None, f"api_key: {h}")]
+    got = collections.defaultdict(list)
+    for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), trees).collect():
+        got[r.doc_id].append(r)
+    assert [(r.start, r.end, r.secret, r.value_sha256) for r in got[1]] == [(13, 53, True, hashlib.sha256(h.encode()).hexdigest())]
+    assert [r.secret for r in got[2]] == [False] and not got[3] and not got[4] and not got[5] and not got[6]
+    assert got[7][0].secret and got[None][0].secret
+    assert secrets.scan(spark.createDataFrame([], "doc_id long, text string"), trees).count() == 0
