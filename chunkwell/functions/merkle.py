@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.session import written
+
 
 def combine(left: Column, right: Column) -> Column:
     """SHA-256 of the two hex texts, one after the other."""
@@ -31,8 +33,21 @@ def roots(leaves: DataFrame, keys: list[str], order: str, leaf: str) -> DataFram
     return groups.select(*keys, F.size("l").cast("bigint").alias("n_leaves"), root_of(F.transform("l", lambda x: x["h"])).alias("merkle_root"))
 
 
-def levels(leaves: DataFrame, keys: list[str], order: str, leaf: str, checkpoint: bool = False) -> list[DataFrame]:
-    """Each level's nodes (keys, pos, hash, first leaf, last leaf), leaves first: a shuffle a level, so a group may have any number of leaves."""
+def root(leaves: DataFrame, pos: str, leaf: str) -> str | None:
+    """The root of any number of leaves at consecutive places from 0: subtrees of 256 leaves at a time, a shuffle a round."""
+    now = leaves.select(F.col(pos).cast("bigint").alias("pos"), F.col(leaf).alias("hash"))
+    while True:
+        last = now.agg(F.max("pos")).first()[0]
+        if last is None:
+            return None
+        if last == 0:
+            return now.first().hash
+        block = now.groupBy(F.floor(F.col("pos") / 256).cast("bigint").alias("up")).agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("l"))  # at most 256
+        now = written(block.select(F.col("up").alias("pos"), root_of(F.transform("l", lambda x: x["hash"])).alias("hash")), "merkle")
+
+
+def levels(leaves: DataFrame, keys: list[str], order: str, leaf: str) -> list[DataFrame]:
+    """Each level's nodes (keys, pos, hash), leaves first, a shuffle a level."""
     w = Window.partitionBy(*keys).orderBy(order)
     now = leaves.select(*keys, (F.row_number().over(w) - 1).cast("bigint").alias("pos"), F.col(leaf).alias("hash"))
     top = now.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0

@@ -6,20 +6,11 @@ takes log2(n) rounds, each written to the shared folder, and not n.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import BRANCH_PREFIX
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.session import written
 
 
 def history(starts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -28,17 +19,17 @@ def history(starts: DataFrame, edges: DataFrame) -> DataFrame:
     edges: (commit_hash, parent_hash). After round k every commit less than 2**k steps back is known, by jumps of
     exactly 2**(k - 1) steps; it ends when a round finds nothing new, so cycles end too.
     """
-    jumps = _written(edges.select(F.col("commit_hash").alias("a"), F.col("parent_hash").alias("b")).where("a is not null and b is not null").distinct(), "jumps")
-    seen = _written(starts.select(F.col("commit_hash").alias("start"), "commit_hash").distinct(), "seen")
+    jumps = written(edges.select(F.col("commit_hash").alias("a"), F.col("parent_hash").alias("b")).where("a is not null and b is not null").distinct(), "jumps")
+    seen = written(starts.select(F.col("commit_hash").alias("start"), "commit_hash").distinct(), "seen")
     count = seen.count()
     while True:
         more = seen.join(jumps, seen.commit_hash == jumps.a).select("start", F.col("b").alias("commit_hash"))
-        seen = _written(seen.unionAll(more).distinct(), "seen")
+        seen = written(seen.unionAll(more).distinct(), "seen")
         now = seen.count()
         if now == count:
             return seen
         count = now
-        jumps = _written(jumps.join(jumps.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct(), "jumps")
+        jumps = written(jumps.join(jumps.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct(), "jumps")
 
 
 def commit_history(commits: DataFrame, starts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import FormatMismatchError
 from ..functions.scalars import BRANCH_PREFIX, chunker_signature
+from ..sources.session import written
 
 # ---- reads
 
@@ -139,11 +140,16 @@ def verify_signature(recorded: DataFrame, expected: dict[str, str] | None = None
 
 
 def numbered_refs(chunks: DataFrame, commit: str) -> DataFrame:
-    """chunk_refs rows of a snapshot's chunk rows: ref_seq follows path and order, by two steps that no one task holds.
+    """chunk_refs rows of a snapshot's chunk rows: ref_seq follows path and order.
 
-    Files are numbered by their place, and the chunks of the files before are summed over files, not chunks.
+    Files are dealt out by ranges of path and summed up within a range; the ranges' totals, a row each, are summed up
+    after that. No task holds all files.
     """
-    per = chunks.groupBy("path").agg(F.count("*").alias("n"))
-    start = per.withColumn("start", F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)))
-    joined = chunks.join(start.select("path", F.coalesce("start", F.lit(0)).alias("start")), "path")
+    per = chunks.groupBy("path").agg(F.count("*").alias("n")).repartitionByRange("path").withColumn("part", F.spark_partition_id())
+    per = written(per, "numbered")
+    totals = per.groupBy("part").agg(F.sum("n").alias("total"))
+    base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))  # a row for each range
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("path")) - F.col("n")
+    start = per.select("path", "part", inside.alias("inside")).join(F.broadcast(base), "part").select("path", (F.col("base") + F.col("inside")).alias("start"))
+    joined = chunks.join(start, "path")
     return joined.select((F.col("start") + F.col("chunk_order") + 1).cast("bigint").alias("ref_seq"), F.lit(commit).alias("commit_hash"), F.col("path").alias("file_path"), "chunk_hash", "chunk_offset", "chunk_length", "chunk_order")

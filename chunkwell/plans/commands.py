@@ -124,7 +124,7 @@ class Repository:
         parents = parents if parents is not None else [head] if head else []
         at = time.time() if at is None else at
         numbered = metadata.numbered_refs(rows, "")
-        root = merkle.roots(numbered.withColumn("g", F.lit(1)), ["g"], "ref_seq", "chunk_hash").first().merkle_root
+        root = merkle.root(numbered.withColumn("pos", F.col("ref_seq") - 1), "pos", "chunk_hash")
         spark, text = self.spark, repr(float(at))
         commit = spark.range(1).select(scalars.commit_hash(F.lit(root), F.lit(message), F.lit(text), F.lit(parents[0] if parents else None)).alias("h")).first().h
         c.append("chunk_refs", numbered.withColumn("commit_hash", F.lit(commit)))

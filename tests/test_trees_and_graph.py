@@ -50,6 +50,9 @@ def test_roots_nodes_levels(spark):
     assert nodes.where("g = '33'").count() == 65
     top = merkle.levels(df.where("g = '17'"), ["g"], "i", "chunk_hash")[-1]
     assert [r.hash for r in top.collect()] == [got[17]]
+    for n in (1, 9, 2001):
+        assert merkle.root(df.where(f"g = '{n}'"), "i", "chunk_hash")[:16] == ROOTS[n]
+    assert merkle.root(df.limit(0), "i", "chunk_hash") is None
     none = spark.sql("SELECT cast(array() as array<string>) AS l").select(merkle.root_of(merkle.F.col("l")).alias("r")).first()
     assert none.r is None
 
