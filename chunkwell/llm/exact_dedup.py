@@ -112,7 +112,8 @@ def duplicates(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> DataFrame
 
 
 def keep_distinct(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of documents that stay, with all their columns: one per text."""
-    kept = duplicates(docs, block).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    """The rows of documents that stay, with all their columns: one per text, also where doc_ids or rows repeat."""
+    kept = duplicates(docs, block).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    marked = docs.withColumn("_text_sha", F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"), 256))
+    joined = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_kept_id"]) & (marked["_text_sha"] == kept["_kept_sha"]), "left_semi")
+    return joined.dropDuplicates(["doc_id", "_text_sha"]).drop("_text_sha")

@@ -397,6 +397,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of documents that stay, with all their columns: one per group of near duplicates."""
+    """The rows of documents that stay, with all their columns: one per group of near duplicates. Rows of one doc_id stay or go together."""
     kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -22,7 +22,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     model = train(docs.where(~held_out))
-    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels").where(~held_out))
-    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

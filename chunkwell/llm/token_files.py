@@ -18,6 +18,8 @@ from .tokens import Encoder, default_tokenizer
 
 #: Ids in a segment: bounds what a task holds.
 SEGMENT = 1 << 20
+#: Ranges of doc_id at most: bounds the quantile sketch. A range is sorted on disk, so it may be larger than memory.
+MAX_SHARDS = 10_000
 _ROWS = "bucket int, doc_id long, n long, ids binary, width int"
 _BLOCK = "struct<n:long, lanes:int, words:binary, marks:array<struct<step:long, word:long, state:binary>>, crc:long>"
 FORMAT = f"shard int, segment int, shard_start long, n_tokens long, freq binary, docs binary, blocks array<{_BLOCK}>"
@@ -34,7 +36,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     prepare(spark)
     tokenizer = tokenizer or default_tokenizer()
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    shards = shards or max(1, docs.rdd.getNumPartitions())
+    shards = min(shards or max(1, docs.rdd.getNumPartitions()), MAX_SHARDS)
     cuts = docs.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards) if shards > 1 else []
     bounds = sorted({int(c) for c in cuts})
 

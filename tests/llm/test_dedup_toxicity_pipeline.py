@@ -19,7 +19,7 @@ def low(t):
 
 @pytest.fixture(scope="module")
 def rows(spark):
-    extra = [(900001, None), (900002, ""), (900003, "É"), (900004, "é"), (900005, "ABC"), (900006, "abc"), (None, "abc"), (None, "lonely"), (900007, "x" * 50000), (900008, "X" * 50000), (900009, "x" * 50001), (900010, "a b c"), (900010, "a b c")]
+    extra = [(900001, None), (900002, ""), (900003, "É"), (900004, "é"), (900005, "ABC"), (900006, "abc"), (None, "abc"), (None, "lonely"), (900007, "x" * 50000), (900008, "X" * 50000), (900009, "x" * 50001), (900010, "a b c"), (900010, "a b c"), (900011, "p q"), (900011, "r s"), (900012, "p q")]
     return [(r.doc_id, r.text) for r in table(spark, D, "documents").collect()] + extra
 
 
