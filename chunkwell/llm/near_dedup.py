@@ -5,7 +5,7 @@ Rows whose shingle sets are equal form a class and only its representative goes
 task however many there are. In each band's bucket the members are first tested against one star only: a number of
 pairs that is linear in the rows. Their links give components. Buckets whose members lie in several components are then searched
 in full, in tiles of a bounded number of rows: sketches are compared, and the most alike pairs of different components
-are confirmed on the texts. Where a row had more of them than are given, its buckets are searched once more by exact
+are confirmed on the texts. Where a row had more of them than it gave, its buckets are searched once more by exact
 counts on full sets, and a row gives one link to each other component: enough for the components, and linear in the
 rows. No pair is emitted for the members of one component.
 """
@@ -27,9 +27,9 @@ BINS, SLACK = 1024, 0.09
 COARSE, COARSE_SLACK, COARSE_LEAST = 256, 0.25, 80
 #: Rows of a bucket compared at a time.
 TILE = 256
-#: In the sketched search a row gives its most alike rows of other components in a tile; where any had more, the exact
-#: search goes through all of the bucket. Shingles that it counts at a time.
-FIRST, COLUMNS = 8, 1 << 14
+#: In the sketched search a row gives the most alike row of each other component in a tile, of so many components at
+#: most; where any had more, the exact search goes through all of the bucket. Shingles that it counts at a time.
+FIRST, COLUMNS = 4, 1 << 14
 
 
 def shingle_words(text: str | None) -> list[bytes]:
@@ -278,7 +278,7 @@ def _tiles(mixed: DataFrame, contents: DataFrame, compare) -> DataFrame:
 
 
 def _by_sketch(percent: int):
-    """The FIRST most alike rows of other components for each row of a tile; (rep, None) for a row that had more."""
+    """For each row of a tile the most alike row of up to FIRST other components; (rep, None) for a row that had more."""
 
     def compare(one: list[tuple], two: list[tuple]) -> Iterator[tuple]:
         import numpy as np
@@ -289,10 +289,11 @@ def _by_sketch(percent: int):
             if not len(other):
                 continue
             near, share = alike(np.frombuffer(data, np.uint8), table[other], percent / 100 - SLACK)
-            if len(near) > FIRST:
-                near = near[np.argsort(-share, kind="stable")[:FIRST]]
+            order = near[np.argsort(-share, kind="stable")]
+            best = order[np.sort(np.unique(component[other[order]], return_index=True)[1])][:FIRST]
+            if len(best) < len(near):
                 yield rep, None
-            for x in other[near]:
+            for x in other[best]:
                 yield min(rep, two[x][0]), max(rep, two[x][0])
 
     return compare
