@@ -54,7 +54,7 @@ def features(df: DataFrame, path: str | None = None) -> DataFrame:
         "quoted": F.col("before").rlike("[\"']$").cast("double"),
         "assigned": F.col("before").rlike("[=:]\\s?[\"']?$").cast("double"),
         "near_secret": F.col("_left").rlike(f"(?:{NEAR_SECRET})[a-z_]*[\\s\"'=:]*$").cast("double") + F.col("_left").rlike(f"(?:{NEAR_SECRET})").cast("double"),
-        "near_harmless": F.concat("_left", F.lit(" "), "_right").rlike(f"(?:^|[^a-z])(?:{NEAR_HARMLESS})").cast("double"),
+        "near_harmless": F.col("_left").rlike(f"(?:^|[^a-z])(?:{NEAR_HARMLESS})[a-z0-9_]*[\\s\"'=:#-]*$").cast("double") + F.col("_right").rlike(f"^[\"'\\s]*(?:{NEAR_HARMLESS})\\b").cast("double"),
         "example_path": F.coalesce(F.lower(path).rlike(f"(?:{EXAMPLES})") if path else F.lit(False), F.lit(False)).cast("double"),
         "url": (F.col("_left").rlike(r"(?:https?:|www\.)\S*$") | v.contains("//")).cast("double"),
     }
