@@ -13,6 +13,8 @@ from ..sources.session import ship
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text handled at a time in Python: bounds a worker's memory whatever the length of Spark's batches.
 SLICE_CHARS = 1_000_000
+#: Files of a scratch table whose rows are known, at least, and rows in one.
+FILES, ROWS_A_FILE = 24, 20_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -28,11 +30,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder and read it back: lineage ends there and survives lost executors."""
+def materialise(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None) -> tuple[DataFrame, str]:
+    """Write df as a table in the shared folder and read it back: lineage ends there and survives lost executors.
+
+    rows: about how many there may be at most, where that is known; a small table then gets few files, not one for
+    each shuffle partition. It only ever lowers their number.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    (df if rows is None else df.coalesce(max(FILES, rows // ROWS_A_FILE))).write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop, materialise
+from .common import ascii_lower, materialise
 
 #: Bytes in a block.
 BLOCK = 4096
@@ -71,10 +71,10 @@ def name_documents(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> DataF
     named, _ = materialise(src.select("doc_id", F.sha2("data", 256).alias("text_sha256"), F.length("data").cast("long").alias("n_bytes"), names.alias("names")), "named")
 
     blocks = src.select(F.sha2("data", 256).alias("address"), F.posexplode(_blocks(F.col("data"), block)).alias("pos", "v")).withColumn("h", _bucket(F.col("v"), bits=bits)).withColumn("level", F.lit(0))
-    mixed, at = materialise(_mixed(src.select(F.explode(_blocks(F.col("data"), block)).alias("v")).select(F.lit(0).alias("level"), _bucket(F.col("v"), bits=bits).alias("h"), "v")), "mixed")
-    if not mixed.isEmpty():
+    mixed = _mixed(src.select(F.explode(_blocks(F.col("data"), block)).alias("v")).select(F.lit(0).alias("level"), _bucket(F.col("v"), bits=bits).alias("h"), "v"))
+    if mixed.agg(F.count("*")).first()[0]:
+        mixed, _ = materialise(mixed, "mixed")
         named, _ = materialise(_refine(named, _ranks(blocks, mixed)), "named")
-    drop(docs.sparkSession, at)
 
     top = named.agg(F.max(F.size("names"))).first()[0] or 1
     levels, done = max(0, (top - 1).bit_length()), 0

@@ -140,35 +140,35 @@ def _minima(s, a, b) -> bytes | None:
     return least.astype("<u4").tobytes()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """node, component (its smallest reachable node) of undirected edges (a, b); alternating large-star and small-star.
 
-    Each round is written to the shared folder; the loop ends when one changes nothing.
+    Each round is written to the shared folder; the loop ends when one changes nothing. The least neighbours are
+    written too, so that a node with very many edges is a skewed join that AQE splits. rows: about how many edges.
     """
     spark = edges.sparkSession
-    now, path = materialise(edges.selectExpr("greatest(a, b) u", "least(a, b) v").where("u != v").distinct(), "edges")
+    now, path = materialise(edges.selectExpr("greatest(a, b) u", "least(a, b) v").where("u != v").distinct(), "edges", rows=rows)
     mark = None
     while True:
         both = now.unionAll(now.selectExpr("v u", "u v"))
-        least, p1 = materialise(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m"), "least")
-        large, p2 = materialise(both.where("v > u").join(least, "u").selectExpr("v u", "m v").where("u != v").distinct(), "large")
-        low, p3 = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        then, p4 = materialise(large.join(low, "u").where("v != m").selectExpr("v u", "m v").unionAll(low.selectExpr("u", "m v")).distinct(), "edges")
-        for p in (path, p1, p2, p3):
-            drop(spark, p)
-        now, path = then, p4
+        least, p = materialise(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m"), "least", rows=rows)
+        large = both.where("v > u").join(least, "u").selectExpr("v u", "m v").where("u != v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        then, after = materialise(large.join(low, "u").where("v != m").selectExpr("v u", "m v").unionAll(low.selectExpr("u", "m v")).distinct(), "edges", rows=rows)
+        drop(spark, path)
+        drop(spark, p)
+        now, path = then, after
         seen = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == mark or not seen[0]:
             break
-        mark = seen
+        mark, rows = seen, seen[0]
     return now.selectExpr("u node", "v component").unionAll(now.selectExpr("v node", "v component").distinct())
 
 
-def _bloom(ids: DataFrame, column: str):
+def _bloom(ids: DataFrame, column: str, n: int):
     """A Bloom filter of two look-ups; its size has an upper bound, beyond which it only lets more through."""
     import numpy as np
 
-    n = ids.count()
     bits = 1 << min(24, max(16, (16 * max(1, n)).bit_length()))
     places = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits)) for i in (0, 1)))).alias("p"))
     words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
@@ -178,9 +178,9 @@ def _bloom(ids: DataFrame, column: str):
     return table.view(np.uint64)
 
 
-def _candidate_texts(docs: DataFrame, reps: DataFrame, ids: DataFrame, k: int, once: bool) -> DataFrame:
-    """rep, text and fine (its sketch) of the representatives in ids; a Bloom filter leaves the other texts where they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids, "least"))
+def _candidate_texts(docs: DataFrame, reps: DataFrame, ids: DataFrame, n: int, k: int, once: bool) -> DataFrame:
+    """rep, text and fine (its sketch) of the n representatives in ids; a Bloom filter leaves the other texts where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids, "least", n))
     rows = docs.selectExpr("cast(doc_id as long) least", "cast(text as string) text").where("least is not null and text is not null")
     size = len(shared.value) * 64
     rows = rows.select("least", F.pmod(F.xxhash64("least", F.lit(0)), F.lit(size)).alias("p"), F.pmod(F.xxhash64("least", F.lit(1)), F.lit(size)).alias("q"), "text")
@@ -360,13 +360,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bands = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * 4 * ROWS + 1, F.lit(4 * ROWS))))).alias("key"))
     stars = bands.groupBy("key").agg(F.min("rep").alias("star"), F.max("rep").alias("last")).where("star != last").select("key", "star")
     held, _ = materialise(bands.join(stars, "key"), "buckets")
-    texts, _ = materialise(_candidate_texts(docs, reps, reps.join(held.select("rep").distinct(), "rep", "left_semi"), k, once), "texts")
+    ids = reps.join(held.select("rep").distinct(), "rep", "left_semi")
+    n = ids.count()  # candidates; the tables below have about as many rows, or a small multiple
+    texts, _ = materialise(_candidate_texts(docs, reps, ids, n, k, once), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return materialise(_confirm(pairs, texts, k, percent), "links")[0]
+        return materialise(_confirm(pairs, texts, k, percent), "links", rows=n)[0]
 
     links = verified(held.where("rep != star").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct())
-    joined, _ = materialise(components(links), "components")
+    joined, _ = materialise(components(links, n), "components", rows=n)
     more = None
     for exact in (False, True):
         labelled = held.join(joined, held.rep == joined.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
@@ -374,16 +376,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         several = counts.where("kinds > 1 and rows > 2").selectExpr("key", "top.component most")  # a bucket of two was tested as star and member
         if exact:
             several = several.join(held.join(more, "rep", "left_semi").select("key"), "key", "left_semi")
-        mixed, _ = materialise(labelled.join(several, "key").select("key", "rep", "component", F.expr("component = most").alias("major")), "mixed")
+        mixed, _ = materialise(labelled.join(several, "key").select("key", "rep", "component", F.expr("component = most").alias("major")), "mixed", rows=4 * n)
         if exact:
-            contents, _ = materialise(_sets(texts.join(mixed.select("rep").distinct(), "rep", "left_semi"), k), "sets")
-            pairs, _ = materialise(_tiles(mixed, contents, _by_sets(percent)), "pairs")
+            contents, _ = materialise(_sets(texts.join(mixed.select("rep").distinct(), "rep", "left_semi"), k), "sets", rows=n)
+            pairs, _ = materialise(_tiles(mixed, contents, _by_sets(percent)), "pairs", rows=n)
         else:
-            pairs, _ = materialise(_tiles(mixed, texts.select("rep", F.col("fine").alias("data")), _by_sketch(percent)), "pairs")
+            pairs, _ = materialise(_tiles(mixed, texts.select("rep", F.col("fine").alias("data")), _by_sketch(percent)), "pairs", rows=n)
         found = verified(pairs.where("b is not null"))
         if not found.isEmpty():
             links = links.unionAll(found)
-            joined, _ = materialise(components(links), "components")
+            joined, _ = materialise(components(links, n), "components", rows=n)
         more = pairs.where("b is null").selectExpr("a rep")
         if more.isEmpty():
             break

@@ -138,10 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactu
 
     # at most three samples of (id, label): a bounded side
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text").where("text is not null")
-    rows, path = materialise(texts.mapInArrow(distinct, "toxic int, same long, text string").dropDuplicates(["toxic", "same"]).select("toxic", "text"), "sample")
+    rows, path = materialise(texts.mapInArrow(distinct, "toxic int, same long, text string").dropDuplicates(["toxic", "same"]).select("toxic", "text"), "sample", rows=3 * sample)
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    counts, at = materialise(rows.mapInArrow(count, "f binary, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST), "counts")
+    counts, at = materialise(rows.mapInArrow(count, "f binary, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST), "counts", rows=3 * sample)
     chi = F.expr(f"pow(b * ({n0}D - a) - a * ({n1}D - b), 2) / ((a + b) * greatest(1, {n0 + n1}D - a - b))")
     identity = {f for g in IDENTITY_GROUPS for t in g for f in features(t.encode())}
     kept = {bytes(r.f) for r in counts.orderBy(chi.desc(), "f").limit(FEATURES).collect()} | {bytes(r.f) for r in counts.where(F.col("f").isin(*sorted(identity))).collect()}
