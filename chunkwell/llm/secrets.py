@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from .spans import with_matches
 
-#: Tokens of 16 characters or more with a digit, and shorter values after a telling key.
+#: Tokens of 16 characters or more with a digit, and values of 8 or more after a telling key; whole, however long.
 PATTERNS = {
-    "token": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,60}[0-9])[A-Za-z0-9_+/=-]{16,512}+(?![A-Za-z0-9_+/=-])",
-    "value": r"(?i)(?<=(?:password|passwd|secret|api_key|apikey|token)\x20?[=:]\x20?[\"']?)[^\s\"'<>,;=:]{8,64}+",
+    "token": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+",
+    "value": r"(?i)(?<=(?:password|passwd|secret|api_key|apikey|token)\x20?[=:]\x20?[\"']?)[^\s\"'<>,;=:]{8,}+",
 }
 # Words that cover ordinary identifiers; words beside secrets and beside harmless values; paths of examples.
 DICTIONARY = "example|sample|test|dummy|placeholder|changeme|password|secret|token|value|name|user|admin|default|config|index|page|image|file|data|version|build|release|http|https|www|com|html|class|function|return|null|none|true|false|your|here|this|that|with|from|the|and|key|id|number|date|time|path|home|local|server|client|system"
@@ -37,7 +37,7 @@ def features(df: DataFrame, path: str | None = None) -> DataFrame:
     runs = F.regexp_replace(kinds, r"(.)\1*+", "$1")
     letters = F.regexp_replace(F.lower(v), "[^a-z]", "")
     df = df.withColumn("_chars", F.filter(F.split(v, ""), lambda c: c != "")).withColumn("_low", F.lower(v)).withColumn("_left", F.lower("before")).withColumn("_right", F.lower("after"))
-    count = lambda c: F.size(F.filter("_chars", lambda x: x == c))
+    count = lambda c: n - F.char_length(F.replace(v, c, F.lit("")))
     entropy = F.aggregate(F.array_distinct("_chars"), F.lit(0.0), lambda s, c: s - (count(c) / n) * F.log2(count(c) / n))
     words = F.regexp_extract_all(F.lower(v), F.lit("[a-z]+"), F.lit(0))
     made = {

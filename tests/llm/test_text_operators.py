@@ -241,3 +241,16 @@ def test_secrets(spark):
     assert [r.secret for r in got[2]] == [False] and not got[3] and not got[4] and not got[5] and not got[6]
     assert got[7][0].secret and got[None][0].secret
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string"), trees).count() == 0
+
+
+def test_secrets_of_any_length(spark):
+    key = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(3200))
+    late, odd = "abcDEFgh" * 10 + key[:40], "p!" + key[:150] + "$" + key[150:300]
+    held = {1: key[:512], 2: key[:513], 3: key[:2000], 4: key[:200_000], 5: late, 6: odd, 7: "p!" + key[:62], 8: key[:16]}
+    rows = [(i, f'é client-key-data "{v}" b' if i not in (6, 7) else f'é password = "{v}" b') for i, v in held.items()] + [(9, "x" * 300_000), (10, 'password = "short"')]
+    trees = secrets.train(secrets.labelled_findings(spark, 700))
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), trees).collect()
+    want = sorted((i, 19 if i not in (6, 7) else 14, len(v), hashlib.sha256(v.encode()).hexdigest()) for i, v in held.items())
+    assert [w for w in sorted((r.doc_id, r.start, r.end - r.start, r.value_sha256) for r in got) if w[0] not in (6, 7)] == [w for w in want if w[0] not in (6, 7)]
+    # in 6 and 7 the value is a candidate, and so is the token in it
+    assert {w for w in want if w[0] in (6, 7)} <= {(r.doc_id, r.start, r.end - r.start, r.value_sha256) for r in got}
