@@ -2,8 +2,8 @@
 
 Markup is stripped to one line a block; lines of menus, headers, footers, sidebars, notices, adverts, forms, comments
 and the like count no text. Text lengths are summed over a sliding window of lines; where the sum surges a stretch of
-main text begins, where it dives to nothing it ends, and the lines between are kept. A page that marks its article is
-judged inside it, where any text makes a surge.
+main text begins, where it dives to nothing it ends, and the lines between are kept. All lines of a page are judged
+so; inside a marked article links weigh too and any text is a surge.
 """
 
 from __future__ import annotations
@@ -140,9 +140,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    marked = any(a and t for t, _, a in lines)
-    weight = [0 if marked and not a else len(t) if marked else max(0, len(t) - 2 * n) for t, n, a in lines]
-    surge, keep, i = (1 if marked else SURGE), [False] * len(lines), 0
+    weight = [len(t) if a else max(0, len(t) - 2 * n) for t, n, a in lines]
+    keep, i = [False] * len(lines), 0
     sums = [0, *weight]
     for k in range(1, len(sums)):
         sums[k] += sums[k - 1]
@@ -151,16 +150,16 @@ def main_text(page: str | None) -> str:
     gap = {k: b - a for k, (a, b) in enumerate(zip(full, full[1:]))}
     while i < len(full):
         j = i  # a stretch of lines with text, no window of empty ones between
-        while j + 1 < len(full) and (marked or gap[j] <= 4 * WINDOW):
+        while j + 1 < len(full) and gap[j] <= 4 * WINDOW:
             j += 1
         stretch = full[i : j + 1]
-        first = next((k for k in stretch if total(k) >= surge or weight[k] >= surge), None)
+        first = next((k for k in stretch if lines[k][2] or total(k) >= SURGE), None)
         if first is not None:
             last = max(k for k in stretch if total(max(0, k - WINDOW + 1)) > 0)
             for k in stretch:
                 keep[k] = first <= k <= last
         i = j + 1
-    if not any(keep) and not marked and full:  # no surge: the heaviest line alone
+    if not any(keep) and full:  # no surge: the heaviest line alone
         keep[max(full, key=lambda k: weight[k])] = True
     return "\n\n".join(t for (t, _, _), k in zip(lines, keep) if k and t)
 

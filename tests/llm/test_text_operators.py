@@ -218,6 +218,15 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_outside_the_marker():
+    body = "word " * 40
+    cards = "".join(f"<article><h3>Card {i}</h3><a href='/{i}'>more</a></article>" for i in range(3))
+    far = "<div></div>" * 30
+    text = html_text.main_text(f"<body><nav>menu</nav><div><p>{body}</p><p>Short.</p><p>{body}</p></div>{far}{cards}{far}<p>Alone.</p></body>")
+    assert text.split("\n\n") == [body.strip(), "Short.", body.strip(), "Card 0", "more", "Card 1", "more", "Card 2", "more"]
+    assert html_text.main_text(f"<article><p>One.</p>{far}<p>Two.</p></article>{far}<div><a href='/'>{body}</a></div>") == "One.\n\nTwo."
+
+
 def test_html_of_all_pages(spark):
     import html
 
