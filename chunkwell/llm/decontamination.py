@@ -226,8 +226,13 @@ def _shingled(words: Column, size: Column) -> Column:
 
 def contamination_joined(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """contamination() for a benchmark of any size: shingles, prefixes and candidates are shuffled by shingle."""
+    return _joined(docs.select("doc_id", _words("text").alias("words")), benchmark, window).select([x.split()[0] for x in RESULT.split(", ")])
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """The rows of docs, which have a column words, with the figures of RESULT; each row is judged by itself, by a number of its own."""
     spark = docs.sparkSession
-    rows, _ = materialise(docs.select("doc_id", _words("text").alias("words")).withColumn("row", F.monotonically_increasing_id()), "words")
+    rows, _ = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "words")
     items = benchmark.select("item_id", _words("text").alias("words")).where("size(words) > 0").withColumn("long", F.least(F.size("words"), F.lit(window)))
     windows = items.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("long") + 1), lambda i: F.slice("words", i, F.col("long")))).alias("window"))
     windows, _ = materialise(windows.groupBy("window").agg(F.collect_set("item_id").alias("items")).withColumn("k", F.least(F.size("window"), F.lit(SHINGLE))), "windows")
@@ -249,9 +254,9 @@ def contamination_joined(docs: DataFrame, benchmark: DataFrame, window: int = WI
         n_hit = sure.select("row", F.explode(F.sequence("start", F.col("start") + F.size("window") - 1)).alias("w")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
         names = sure.select("row", "window").distinct().join(windows, "window").select("row", F.explode(F.col("items").cast("array<string>")).alias("item")).distinct().groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
         hits = n_hit.join(names, "row")
-    out = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words")).join(hits, "row", "left")
-    hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), ((hit > 0) & (PART * hit >= F.col("n_words"))).alias("contaminated"))
+    n_words, hit = F.size("words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long")
+    figures = {"n_words": n_words, "n_hit": hit, "n_items": F.coalesce("n_items", F.lit(0)).cast("long"), "items_sha256": F.coalesce("items_sha256", none), "contaminated": (hit > 0) & (PART * hit >= n_words)}
+    return rows.join(hits, "row", "left").select(*docs.drop("words").columns, *(c.alias(k) for k, c in figures.items()))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
@@ -259,8 +264,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_
     prepare(docs.sparkSession)
     chosen, at = _indexed(docs, _items(benchmark), window, max_words), docs.columns.index("text")
     if chosen is None:
-        found = contamination_joined(docs, _items(benchmark), window).where("contaminated").select(F.col("doc_id").alias("_found_id")).distinct()
-        return docs.join(found, docs["doc_id"].eqNullSafe(found["_found_id"]), "left_anti")
+        whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), _words("text").alias("words"))
+        return _joined(whole, _items(benchmark), window).where("not contaminated").select("doc.*")
 
     def keep(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -71,6 +71,16 @@ def test_decontamination_by_both_ways(spark, docs, rows):
     assert decontamination.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_keep_clean_judges_each_row_in_both_ways(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(None, text, "a", 1), (None, "clean", "b", 2), (None, None, "c", 3), (7, text, "d", 4), (7, "also clean", "e", 5), (7, "also clean", "e", 5), (8, "", None, None), (9, text, "f", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, words string, row int").repartition(3)
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    for limit in (decontamination.MAX_WORDS, 1):
+        kept = decontamination.keep_clean(docs, bench, max_words=limit)
+        assert kept.dtypes == docs.dtypes and ordered(kept.collect()) == ordered(r for r in rows if r[1] != text)
+
+
 def test_language(spark):
     t = common.table(spark, "/root/testdata/sf0.01", "documents")
     held = common.F.pmod(common.F.crc32(common.F.col("doc_id").cast("string").cast("binary")), common.F.lit(4)) == 2
