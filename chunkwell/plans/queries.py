@@ -396,9 +396,9 @@ def commit_history(spark: SparkSession, d: str) -> DataFrame:
     return dag.commit_history(c.withColumn("timestamp", F.col("micros").cast("double")), branches(spark, d), metadata.commit_parents(c, parents(spark, d)))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth commit against the head of its author's branch and of the next one's."""
-    c = commits(spark, d).where("event_id % 10 = 0")
+def _pairs(spark: SparkSession, d: str, which: str = "event_id % 10 = 0") -> DataFrame:
+    """Some commits (every tenth) against the head of their author's branch and of the next one's."""
+    c = commits(spark, d).where(which)
     b = branches(spark, d).select(F.substring("ref_name", 12, 100).alias("author"), F.col("commit_hash").alias("descendant"))
     return c.select(F.col("commit_hash").alias("ancestor"), F.explode(F.array("author", F.concat("author", F.lit("1")))).alias("author")).join(b, "author").select("ancestor", "descendant").distinct()
 
@@ -408,6 +408,12 @@ def is_ancestor(spark: SparkSession, d: str) -> DataFrame:
     return dag.is_ancestor(_pairs(spark, d), metadata.commit_parents(commits(spark, d), parents(spark, d)))
 
 
+@query(f", {_REACH}, pairs AS (SELECT DISTINCT c.commit_hash AS ancestor, b.commit_hash AS descendant FROM (SELECT commit_hash, author FROM commits UNION ALL SELECT commit_hash, author || '1' FROM commits) c JOIN branches b ON substr(b.ref_name, 12) = c.author) SELECT ancestor, descendant, r.start IS NOT NULL AS is_ancestor FROM pairs LEFT JOIN (SELECT DISTINCT start, commit_hash FROM reach) r ON r.start = descendant AND r.commit_hash = ancestor", recursive=True)
+def is_ancestor_all(spark: SparkSession, d: str) -> DataFrame:
+    """is_ancestor of every commit, not of every tenth."""
+    return dag.is_ancestor(_pairs(spark, d, "true"), metadata.commit_parents(commits(spark, d), parents(spark, d)))
+
+
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = commits(spark, d).withColumn("timestamp", F.col("micros"))
     return c, c.where("event_id < 700 or event_id % 3 = 0")
