@@ -113,6 +113,12 @@ def read_chunk_at(spark: SparkSession, d: str) -> DataFrame:
     return chunking.read_chunk_at(ascii_only, 10, 20).select("path", F.sha2("data", 256).alias("piece"))
 
 
+@query("SELECT path, sha256(unhex(substr(hex(content), 21, 40))) AS piece FROM f1 WHERE content IS NOT NULL")
+def read_chunk_at_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The same range of every file, in bytes also where a character has several."""
+    return chunking.read_chunk_at(files(spark, d).where("content is not null"), 10, 20).select("path", F.sha2("data", 256).alias("piece"))
+
+
 _SUMMARY = "count(DISTINCT path) AS files, count(*) AS chunks, count(DISTINCT chunk_hash) AS unique_chunks, CAST(sum(chunk_length) AS BIGINT) AS raw_bytes"
 
 
