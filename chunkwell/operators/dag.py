@@ -54,19 +54,22 @@ def newest_common_commit(source: DataFrame, target: DataFrame) -> DataFrame:
     return source.join(target.select("commit_hash"), "commit_hash", "left_semi").orderBy(F.col("timestamp").desc(), F.col("commit_hash").desc()).limit(1)
 
 
-def resolve(wanted: DataFrame, refs: DataFrame, commits: DataFrame) -> DataFrame:
+def resolve(wanted: DataFrame, refs: DataFrame, commits: DataFrame, least: int = 6) -> DataFrame:
     """wanted (ref) with commit_hash and n: a branch's short name, a full ref name, an exact hash or a unique prefix, in that order.
 
-    n is how many commits the best kind of match gives: 1 resolves, 0 is unknown, more is ambiguous. Prefixes have 6
-    digits or more, so they are matched by their first 6: an equi-join, not a comparison of every pair.
+    n is how many commits the best kind of match gives: 1 resolves, 0 is unknown, more is ambiguous. Prefixes have
+    `least` digits or more. Commits are counted by their prefixes of the lengths that occur in wanted, and these are
+    joined: an equi-join, not a comparison of every pair.
     """
     names = refs.select(F.col("ref_name"), F.col("commit_hash"))
     short = wanted.join(names.withColumn("ref", F.substring("ref_name", len(BRANCH_PREFIX) + 1, 1 << 30)).where(F.col("ref_name").startswith(BRANCH_PREFIX)).select("ref", "commit_hash"), "ref").withColumn("kind", F.lit(1))
     full = wanted.join(names.select(F.col("ref_name").alias("ref"), "commit_hash"), "ref").withColumn("kind", F.lit(2))
     exact = wanted.join(commits.select(F.col("commit_hash").alias("ref"), "commit_hash"), "ref").withColumn("kind", F.lit(3))
-    heads = commits.select("commit_hash", F.substring("commit_hash", 1, 6).alias("six"))
-    prefix = wanted.where(F.length("ref") >= 6).withColumn("six", F.substring("ref", 1, 6)).join(heads, "six").where(F.col("commit_hash").startswith(F.col("ref"))).select("ref", "commit_hash").withColumn("kind", F.lit(4))
-    found = short.unionByName(full).unionByName(exact).unionByName(prefix).distinct()
-    best = found.groupBy("ref", "kind").agg(F.count("*").alias("n"), F.min("commit_hash").alias("commit_hash")).groupBy("ref").agg(F.min(F.struct("kind", "n", "commit_hash")).alias("m"))
+    found = short.unionByName(full).unionByName(exact).distinct().groupBy("ref", "kind").agg(F.count("*").alias("n"), F.min("commit_hash").alias("commit_hash"))
+    longest = commits.agg(F.max(F.length("commit_hash"))).first()[0] or 0
+    lengths = [r[0] for r in wanted.select(F.length("ref").alias("n")).where(F.col("n").between(least, longest)).distinct().collect()]
+    heads = commits.select("commit_hash").distinct().withColumn("n", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>"))).where(F.length("commit_hash") >= F.col("n"))
+    prefix = heads.select(F.expr("left(commit_hash, n)").alias("ref"), "commit_hash").join(wanted, "ref", "left_semi").groupBy("ref").agg(F.count("*").alias("n"), F.min("commit_hash").alias("commit_hash")).withColumn("kind", F.lit(4))
+    best = found.unionByName(prefix).groupBy("ref").agg(F.min(F.struct("kind", "n", "commit_hash")).alias("m"))
     joined = wanted.select("ref").distinct().join(best, "ref", "left")
     return joined.select("ref", F.when(F.col("m.n") == 1, F.col("m.commit_hash")).alias("commit_hash"), F.coalesce(F.col("m.n"), F.lit(0)).cast("bigint").alias("n"))

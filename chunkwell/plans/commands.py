@@ -157,7 +157,7 @@ class Repository:
         return metadata.commit_parents(self.catalog.read("commits"), self.catalog.read("commit_parents"))
 
     def resolve(self, ref: str) -> str:
-        row = dag.resolve(self.spark.createDataFrame([(ref,)], "ref string"), self.catalog.read("refs"), self.catalog.read("commits")).first()
+        row = dag.resolve(self.spark.createDataFrame([(ref,)], "ref string"), self.catalog.read("refs"), self.catalog.read("commits"), least=1).first()
         if row.commit_hash is None:
             raise KeyError(f"{ref}: " + ("ambiguous" if row.n else "unknown"))
         return row.commit_hash

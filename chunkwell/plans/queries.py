@@ -451,6 +451,23 @@ def resolve_ref(spark: SparkSession, d: str) -> DataFrame:
     return dag.resolve(wanted, b, c)
 
 
+@query("""
+, wanted AS (SELECT left(commit_hash, CAST(1 + event_id % 15 AS INT)) AS ref FROM commits UNION SELECT ref_name FROM branches UNION SELECT substr(ref_name, 12) FROM branches UNION SELECT commit_hash FROM commits),
+found AS (
+    SELECT ref, b.commit_hash, 1 AS kind FROM wanted JOIN branches b ON ref = substr(b.ref_name, 12)
+    UNION SELECT ref, b.commit_hash, 2 FROM wanted JOIN branches b ON ref = b.ref_name
+    UNION SELECT ref, c.commit_hash, 3 FROM wanted JOIN commits c ON ref = c.commit_hash
+    UNION SELECT ref, c.commit_hash, 4 FROM wanted JOIN commits c ON starts_with(c.commit_hash, ref)),
+n AS (SELECT ref, kind, count(*) AS n, min(commit_hash) AS h FROM found GROUP BY 1, 2),
+m AS (SELECT ref, arg_min(n, kind) AS n, arg_min(h, kind) AS h FROM n GROUP BY 1)
+SELECT ref, CASE WHEN n = 1 THEN h END AS commit_hash, coalesce(n, 0) AS n FROM wanted LEFT JOIN m USING (ref)""")
+def resolve_ref_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every full hash, and prefixes from one digit up."""
+    c, b = commits(spark, d), branches(spark, d)
+    short = c.select(F.substring(F.col("commit_hash"), F.lit(1), (1 + F.col("event_id") % 15).cast("int")).alias("ref"))
+    return dag.resolve(short.union(b.select("ref_name")).union(b.select(F.substring("ref_name", 12, 100))).union(c.select("commit_hash")).distinct(), b, c, least=1)
+
+
 # ---- integrity
 
 

@@ -119,6 +119,13 @@ def test_branches_merge_and_rm(spark, tmp_path):
         repo.resolve("unknown")
 
 
+def test_resolve_takes_a_unique_prefix_of_any_length(spark, tmp_path):
+    repo = make(spark, tmp_path)
+    repo.add(repo.working_files(put(tmp_path, a=b"x" * 500)))
+    only = repo.commit("only", at=1.0)
+    assert repo.resolve(only[:1]) == repo.resolve(only[:4]) == repo.resolve(only) == only
+
+
 def test_signature_and_migrate(spark, tmp_path):
     repo = make(spark, tmp_path)
     repo.catalog.upsert("repo_meta", spark.createDataFrame([("chunker_min_size", "1")], "key string, value string"))

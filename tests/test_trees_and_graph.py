@@ -106,6 +106,15 @@ def test_names(spark):
     assert [r.commit_hash[:8] for r in metadata.list_commits(commits, 1).collect()] == ["abcdef22"]
 
 
+def test_short_names(spark):
+    commits = spark.createDataFrame([("abcdef11" * 8,), ("abcdef22" * 8,), ("b0" * 32,), ("b0" * 32,)], "commit_hash string")
+    refs = spark.createDataFrame([("refs/heads/a", "h1")], "ref_name string, commit_hash string")
+    wanted = spark.createDataFrame([("a",), ("abcde",), ("abcdef1",), ("b",), ("b0b0",), ("c",), ("b" * 65,), ("b0" * 32,)], "ref string")
+    got = {r.ref: (r.commit_hash, r.n) for r in dag.resolve(wanted, refs, commits, least=1).collect()}
+    b = ("b0" * 32, 1)
+    assert got == {"a": ("h1", 1), "abcde": (None, 2), "abcdef1": ("abcdef11" * 8, 1), "b": b, "b0b0": b, "c": (None, 0), "b" * 65: (None, 0), "b0" * 32: b}
+
+
 BAD = ["../escape.bin", "../../escape.bin", "sub/../../escape.bin", "a/../../../escape.bin", "/etc/passwd", "/tmp/absolute.bin", "..", "C:/Windows/win.ini", "C:\\Windows\\win.ini", "\\absolute\\path.bin", ""]
 
 
