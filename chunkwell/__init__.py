@@ -1 +1,3 @@
 """Content-addressed chunking, versioning and integrity analytics on Spark DataFrames."""
+
+__version__ = "0.2.0"

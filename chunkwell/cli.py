@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import __version__
+from .errors import ChunkIntegrityError
+from .functions.cdc import backend_description
+from .functions.scalars import format_bytes, format_duration, format_time, resolve_input_path, short_hash, subject, throughput
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="chunkwell", description="content-addressed versions of large files")
     p.add_argument("--root", default=".", help="the repository's folder")
+    p.add_argument("--version", action="version", version=f"chunkwell {__version__}, chunks cut by {backend_description()}")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("init")
     a = sub.add_parser("add")
@@ -46,22 +54,39 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def show(df: DataFrame) -> None:
+    """All rows, as they come: tab-separated, after the names of the columns."""
+    print(*df.columns, sep="\t")
+    for r in df.toLocalIterator():
+        print(*r, sep="\t")
+
+
+def _input(path: str, root: str) -> str:
+    """A path on the command line: below the current folder if it is there, else below the repository's."""
+    found = resolve_input_path(path)
+    return str(found) if found.exists() else f"{root}/{path}"
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> int:
     from .plans.commands import Repository, find_root
 
-    show = lambda df: df.show(1000, truncate=False)
     if args.command == "init":
         Repository(spark, args.root).init()
         return 0
-    repo = Repository(spark, find_root(args.root) or args.root).open()
+    root = find_root(args.root) or args.root
+    repo = Repository(spark, root).open()
+    began = time.time()
     if args.command == "add":
-        show(repo.add(repo.working_files(args.files)))
+        stats = repo.add(repo.working_files([_input(p, root) for p in args.files]))
+        took = F.lit(time.time() - began)
+        show(stats.select("*", format_bytes(F.col("bytes")).alias("size"), format_duration(took).alias("took"), throughput(F.col("bytes"), took).alias("rate")))
     elif args.command == "commit":
-        print(repo.commit(args.message, args.author))
+        _, before = repo.head()
+        commit = repo.commit(args.message, args.author)
+        if before:
+            show(repo.delta(before, commit).groupBy("status").agg(F.count("*").alias("chunks")).orderBy("status"))
+        print(commit)
     elif args.command == "log":
-        from .functions.scalars import format_time, short_hash, subject
-        from pyspark.sql import functions as F
-
         show(repo.log(args.n, args.branch).select(short_hash(F.col("commit_hash")).alias("commit"), format_time(F.col("timestamp")).alias("date"), "author", subject(F.col("message")).alias("message")))
     elif args.command == "checkout":
         show(repo.checkout(args.ref).select("path", "size_ok"))
@@ -99,7 +124,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("chunkwell").getOrCreate()
     try:
         return run(args, spark)
-    except (ValueError, KeyError, OSError, RuntimeError) as e:
+    except (ValueError, KeyError, OSError, RuntimeError, ChunkIntegrityError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
 

@@ -11,3 +11,7 @@ class FormatMismatchError(RuntimeError):
 
 class ChunkIntegrityError(Exception):
     """A payload isn't what its name says."""
+
+
+class ConcurrentWriteError(RuntimeError):
+    """Another writer has changed the table, or is changing it."""

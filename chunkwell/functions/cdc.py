@@ -25,6 +25,11 @@ def _gear() -> tuple[list[int], np.ndarray]:
     return table, np.array(table, np.uint64) << np.uint64(_TERMS)
 
 
+def backend_description() -> str:
+    """What cuts chunks, for people."""
+    return f"NumPy {np.__version__} in Arrow batches"
+
+
 def center_size(avg: int, least: int, source: int) -> int:
     """Where the strict condition gives way to the loose one."""
     return min(max(0, avg - min(least + -(-least // 2), avg)), source)

@@ -122,6 +122,11 @@ def is_within(path: str | os.PathLike, root: str | os.PathLike) -> bool:
     return Path(path).resolve().is_relative_to(Path(root).resolve())
 
 
+def resolve_input_path(raw: str | os.PathLike) -> Path:
+    """A path that a user gave, absolute: a relative one is below the current folder."""
+    return Path(raw).absolute().resolve()
+
+
 def resolve_repo_root(start: str | os.PathLike, mark: str = ".chunkwell") -> Path | None:
     here = Path(start).resolve()
     return next((p for p in (here, *here.parents) if (p / mark).is_dir()), None)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import with_prefix_sums
@@ -13,6 +13,8 @@ from ..functions.scalars import AVG_SIZE, MAX_SIZE, MIN_SIZE, human_size
 from ..sources.session import ship
 
 SMALL = (64, 256, 1024)
+#: Bytes of chunks in an Arrow batch, about.
+BATCH = 32 << 20
 
 
 def read_files(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
@@ -26,6 +28,58 @@ def file_info(files: DataFrame) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), human_size(F.col("length")).alias("size_text"))
 
 
+def places(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """path, place of files that executors open by themselves, of any size; paths: from path to place."""
+    return spark.createDataFrame(sorted(paths.items()), "path string, place string").repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it has fewer: a file of one row group is one task else."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _source(files: DataFrame) -> DataFrame:
+    """path and the whole content, or the place where it is."""
+    if "place" in files.columns:
+        return files.select("path", F.col("place").alias("content"))
+    return spread(files.select("path", F.col("content").cast("binary").alias("content")))
+
+
+def _opened(batches: Iterator, placed: bool) -> Iterator[tuple]:
+    """(path, content) of each file that is there: a buffer, or a file mapped into memory."""
+    import mmap
+
+    for b in batches:
+        for path, c in zip(b.column(0).to_pylist(), b.column(1)):
+            if not placed:
+                if c.is_valid:
+                    yield path, c.as_buffer().to_pybytes()
+                continue
+            try:
+                with open(c.as_py(), "rb") as f:
+                    yield path, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if f.seek(0, 2) else b""
+            except FileNotFoundError:
+                continue
+
+
+def file_states(files: DataFrame) -> DataFrame:
+    """path, file_hash and size of each of files (path, content or place) that is there."""
+    if "place" not in files.columns:
+        return files.where("content is not null").select("path", F.sha2(F.col("content").cast("binary"), 256).alias("file_hash"), F.octet_length("content").cast("bigint").alias("size"))
+    ship(files.sparkSession)
+
+    def read(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+
+        for path, c in _opened(batches, True):
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([hashlib.sha256(c).hexdigest()]), pa.array([len(c)], pa.int64())], ["path", "file_hash", "size"])
+
+    return _source(files).mapInArrow(read, "path string, file_hash string, size bigint")
+
+
 def boundaries(files: DataFrame, sizes: tuple[int, int, int] = (MIN_SIZE, AVG_SIZE, MAX_SIZE)) -> DataFrame:
     """path, chunk_order, chunk_offset, chunk_length of files (path, content binary); empty and null files have no chunks.
 
@@ -41,18 +95,22 @@ def boundaries(files: DataFrame, sizes: tuple[int, int, int] = (MIN_SIZE, AVG_SI
         from chunkwell.functions.cdc import cuts
 
         for b in batches:
-            out = [(p, k, o, n) for p, c in zip(b.column(0).to_pylist(), b.column(1)) for k, (o, n) in enumerate(cuts(c.as_buffer().to_pybytes(), *sizes))]
+            out = [(p, k, o, n) for p, c in _opened([b], False) for k, (o, n) in enumerate(cuts(c, *sizes))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names)
 
-    large = rows.where(~small).mapInArrow(cut, "path string, chunk_order int, chunk_offset bigint, chunk_length bigint")
+    large = spread(rows.where(~small)).mapInArrow(cut, "path string, chunk_order int, chunk_offset bigint, chunk_length bigint")
     one = rows.where(small & (F.octet_length("content") > 0)).select("path", F.lit(0).alias("chunk_order"), F.lit(0).cast("bigint").alias("chunk_offset"), F.octet_length("content").cast("bigint").alias("chunk_length"))
     return large.unionAll(one)
 
 
-def chunk_files(files: DataFrame, sizes: tuple[int, int, int] = (MIN_SIZE, AVG_SIZE, MAX_SIZE), data: bool = False) -> DataFrame:
-    """boundaries() with chunk_hash, and the chunk's data if asked for; hashed where the file is read, so no bytes are shuffled."""
+def chunk_files(files: DataFrame, sizes: tuple[int, int, int] = (MIN_SIZE, AVG_SIZE, MAX_SIZE), data: bool = False, empty: bool = False) -> DataFrame:
+    """boundaries() with chunk_hash, and the chunk's data if asked for; hashed where the file is read.
+
+    files: (path, content), or (path, place) of files of any size, which are opened where they are and held in memory
+    by no row. empty: an empty file has one chunk of length 0, and not none.
+    """
     ship(files.sparkSession)
-    rows = files.select("path", F.col("content").cast("binary").alias("content")).where(F.octet_length("content") > 0)
+    placed = "place" in files.columns
 
     def cut(batches: Iterator) -> Iterator:
         import hashlib
@@ -63,15 +121,55 @@ def chunk_files(files: DataFrame, sizes: tuple[int, int, int] = (MIN_SIZE, AVG_S
 
         types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if data else [])]
         names = ["path", "chunk_order", "chunk_offset", "chunk_length", "chunk_hash", *(["data"] if data else [])]
+        held, size = [], 0
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), types)], names)
+
+        for path, raw in _opened(batches, placed):
+            for k, (o, n) in enumerate(cuts(raw, *sizes) or [(0, 0)] * empty):
+                part = raw[o : o + n]
+                held.append((path, k, o, n, hashlib.sha256(part).hexdigest(), *([part] if data else [])))
+                size += 200 + n * data
+                if size >= BATCH:  # chunks may be megabytes
+                    yield batch_of()
+                    held, size = [], 0
+        if held:
+            yield batch_of()
+
+    return _source(files).mapInArrow(cut, "path string, chunk_order int, chunk_offset bigint, chunk_length bigint, chunk_hash string" + (", data binary" if data else ""))
+
+
+def pieces(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """chunk_hash, data of wanted (path, chunk_hash, chunk_offset, chunk_length) ranges of files (path, content or place).
+
+    Files with a place are read by the executors at the ranges alone: only their names are shuffled. Content is
+    joined to its ranges by path, and files without any are left out before.
+    """
+    ship(files.sparkSession)
+    if "place" not in files.columns:
+        ranges = wanted.groupBy("path").agg(F.collect_list(F.struct("chunk_hash", "chunk_offset", "chunk_length")).alias("r"))
+        each = files.select("path", F.col("content").cast("binary").alias("content")).join(ranges, "path").select("content", F.explode("r").alias("r"))
+        return each.select("r.chunk_hash", F.substring(F.col("content"), F.col("r.chunk_offset").cast("int") + 1, F.col("r.chunk_length").cast("int")).alias("data"))
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held, size = [], 0
         for b in batches:
-            for p, c in zip(b.column(0).to_pylist(), b.column(1)):  # a batch a file: chunks may be megabytes
-                raw = c.as_buffer().to_pybytes()
-                found = cuts(raw, *sizes)
-                parts = [raw[o : o + n] for o, n in found]
-                columns = [[p] * len(found), range(len(found)), *zip(*found), [hashlib.sha256(x).hexdigest() for x in parts], *([parts] if data else [])]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names)
+            for place, name, at, n in zip(*(c.to_pylist() for c in b.columns)):
+                with open(place, "rb") as f:
+                    f.seek(at)
+                    held.append((name, f.read(n)))
+                size += n
+                if size >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.string(), pa.binary()))], ["chunk_hash", "data"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.string(), pa.binary()))], ["chunk_hash", "data"])
 
-    return rows.mapInArrow(cut, "path string, chunk_order int, chunk_offset bigint, chunk_length bigint, chunk_hash string" + (", data binary" if data else ""))
+    ranges = files.select("path", "place").join(wanted, "path").select("place", "chunk_hash", "chunk_offset", "chunk_length")
+    return ranges.repartition("place", "chunk_offset").mapInArrow(read, "chunk_hash string, data binary")
 
 
 def line_chunks(files: DataFrame) -> DataFrame:
@@ -123,9 +221,9 @@ def dedup_summary(chunks: DataFrame, *by: str) -> DataFrame:
 
 def contiguity(chunks: DataFrame) -> DataFrame:
     """Per file: chunks, bytes, and whether they begin at 0 and follow one another without gaps."""
-    by = chunks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("chunk_order", "chunk_offset", "chunk_length"))).alias("c"))
-    ends = F.forall(F.sequence(F.lit(0), F.size("c") - 1), lambda i: F.get("c", i)["chunk_offset"] == F.when(i == 0, 0).otherwise(F.get("c", i - 1)["chunk_offset"] + F.get("c", i - 1)["chunk_length"]))
-    return by.select("path", F.size("c").cast("bigint").alias("chunks"), F.aggregate("c", F.lit(0).cast("bigint"), lambda s, x: s + x["chunk_length"]).alias("bytes"), ends.alias("contiguous"))
+    before = F.lag(F.col("chunk_offset") + F.col("chunk_length")).over(Window.partitionBy("path").orderBy("chunk_order"))
+    rows = chunks.select("path", "chunk_length", (F.col("chunk_offset") == F.coalesce(before, F.lit(0))).alias("follows"))
+    return rows.groupBy("path").agg(F.count("*").alias("chunks"), F.sum("chunk_length").alias("bytes"), F.bool_and("follows").alias("contiguous"))
 
 
 def cdc_udtf(spark: SparkSession, name: str = "cdc", sizes: tuple[int, int, int] = SMALL) -> None:

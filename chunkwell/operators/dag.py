@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import BRANCH_PREFIX
-from ..sources.session import written
+from ..sources.session import mark, release, written
 
 
 def history(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """start, commit_hash: every commit reachable from each start (commit_hash), itself included.
 
     edges: (commit_hash, parent_hash). After round k every commit less than 2**k steps back is known, by jumps of
-    exactly 2**(k - 1) steps; it ends when a round finds nothing new, so cycles end too.
+    exactly 2**(k - 1) steps; it ends when a round finds nothing new, so cycles end too. Jumps are made of the whole
+    graph: which part the starts reach is known at the end only.
     """
+    spark, since = edges.sparkSession, mark(edges.sparkSession)
     jumps = written(edges.select(F.col("commit_hash").alias("a"), F.col("parent_hash").alias("b")).where("a is not null and b is not null").distinct(), "jumps")
     seen = written(starts.select(F.col("commit_hash").alias("start"), "commit_hash").distinct(), "seen")
     count = seen.count()
@@ -27,6 +29,7 @@ def history(starts: DataFrame, edges: DataFrame) -> DataFrame:
         seen = written(seen.unionAll(more).distinct(), "seen")
         now = seen.count()
         if now == count:
+            release(spark, since, [seen])
             return seen
         count = now
         jumps = written(jumps.join(jumps.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct(), "jumps")

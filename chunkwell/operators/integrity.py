@@ -13,10 +13,15 @@ def payload_status(payload: Column, data: Column, chunk_hash: Column) -> Column:
     return F.when(payload.isNull(), "missing").when(data.isNull() | (F.sha2(data, 256) != chunk_hash), "corrupt").otherwise("ok")
 
 
+def measured(active: DataFrame, objects: DataFrame) -> DataFrame:
+    """chunk_hash, status (ok, missing, corrupt) and raw_bytes of each hash in active, against the objects that should hold it."""
+    found = active.select("chunk_hash").distinct().join(objects.select("chunk_hash", "payload"), "chunk_hash", "left").withColumn("data", decompress(F.col("payload")))
+    return found.select("chunk_hash", payload_status(F.col("payload"), F.col("data"), F.col("chunk_hash")).alias("status"), F.octet_length("data").cast("bigint").alias("raw_bytes"))
+
+
 def scan(active: DataFrame, objects: DataFrame) -> DataFrame:
-    """chunk_hash and status (ok, missing, corrupt) of each hash in active, against the objects that should hold it."""
-    found = active.select("chunk_hash").distinct().join(objects.select("chunk_hash", "payload"), "chunk_hash", "left")
-    return found.withColumn("data", decompress(F.col("payload"))).select("chunk_hash", payload_status(F.col("payload"), F.col("data"), F.col("chunk_hash")).alias("status"))
+    """chunk_hash and status of each hash in active."""
+    return measured(active, objects).select("chunk_hash", "status")
 
 
 def scan_raw(active: DataFrame, objects: DataFrame) -> DataFrame:
@@ -42,16 +47,24 @@ def require_ok(statuses: DataFrame) -> None:
         raise ChunkIntegrityError(f"{first.status} chunk {first.chunk_hash[:12]}, of {bad.count()} bad ones")
 
 
+def _size_ok(raw: Column) -> Column:
+    """Every chunk is there, has its recorded length (unless 0), and the lengths add up to the content."""
+    right = raw.isNotNull() & ((F.col("chunk_length") == 0) | (raw == F.col("chunk_length")))
+    total = F.sum("chunk_length")
+    return F.bool_and(right) & ((total == 0) | (F.coalesce(F.sum(raw), F.lit(0)) == total))
+
+
 def restore(refs: DataFrame, data: DataFrame) -> DataFrame:
     """path, content, size_ok: files put together from chunk_refs rows and (chunk_hash, data), in their order.
 
-    size_ok: every chunk is there, has its recorded length (unless 0), and the lengths add up to the content.
+    A row holds a whole file, so this is for files below 2 GB; checkout writes larger ones chunk by chunk.
     """
-    each = refs.join(data.select("chunk_hash", "data"), "chunk_hash", "left")
-    files = each.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("chunk_order", "chunk_length", "data"))).alias("c"))
-    parts = F.transform("c", lambda x: F.coalesce(x["data"], F.lit(b"")))
-    whole = F.unhex(F.array_join(F.transform(parts, lambda b: F.hex(b)), ""))
-    right = F.forall("c", lambda x: x["data"].isNotNull() & ((x["chunk_length"] == 0) | (F.octet_length(x["data"]) == x["chunk_length"])))
-    total = F.aggregate("c", F.lit(0).cast("bigint"), lambda s, x: s + x["chunk_length"])
-    out = files.select(F.col("file_path").alias("path"), whole.alias("content"), right.alias("right"), total.alias("total"))
-    return out.select("path", "content", (F.col("right") & ((F.col("total") == 0) | (F.octet_length("content") == F.col("total")))).alias("size_ok"))
+    each = refs.join(data.select("chunk_hash", "data"), "chunk_hash", "left").withColumn("raw", F.octet_length("data").cast("bigint"))
+    content = F.coalesce(F.expr("listagg(data, X'') WITHIN GROUP (ORDER BY chunk_order)"), F.lit(b""))
+    return each.groupBy(F.col("file_path").alias("path")).agg(content.alias("content"), _size_ok(F.col("raw")).alias("size_ok"))
+
+
+def restorable(refs: DataFrame, known: DataFrame) -> DataFrame:
+    """path, size, size_ok of the files of chunk_refs rows, from measured() chunks: no content is held."""
+    each = refs.join(known.where("status = 'ok'").select("chunk_hash", "raw_bytes"), "chunk_hash", "left")
+    return each.groupBy(F.col("file_path").alias("path")).agg(F.coalesce(F.sum("raw_bytes"), F.lit(0)).alias("size"), _size_ok(F.col("raw_bytes")).alias("size_ok"))

@@ -100,12 +100,16 @@ def latest_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest)).select(*rows.columns)
 
 
-def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """table and the rows with new keys, of each the first in order: the first writer wins."""
+def new_rows(table: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows with keys that table lacks, of each the first in order."""
     rest = [c for c in rows.columns if c not in keys]
     first = rows.groupBy(*keys).agg(F.min(F.struct(order, *[c for c in rest if c != order])).alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
-    new = first.join(table.select(*keys), keys, "left_anti")
-    return table.unionByName(new.select(*table.columns))
+    return first.join(table.select(*keys), keys, "left_anti").select(*table.columns)
+
+
+def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """table and the rows with new keys, of each the first in order: the first writer wins."""
+    return table.unionByName(new_rows(table, rows, keys, order))
 
 
 def delete(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

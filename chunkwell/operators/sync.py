@@ -20,6 +20,25 @@ def candidates(source_commits: DataFrame, source_refs: DataFrame, target_commits
     return wanted.join(source_refs.join(base, "commit_hash", "left_semi").select("chunk_hash"), "chunk_hash", "left_anti")
 
 
+def trees_of(nodes: DataFrame, commits: DataFrame) -> DataFrame:
+    """The stored trees of commits (commit_hash); a commit without one has no rows here."""
+    return nodes.join(commits.select("commit_hash"), "commit_hash", "left_semi")
+
+
+def leaves_or_refs(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """commit_hash, chunk_hash of each commit: its stored tree's leaves, or its references where it has no tree."""
+    leaves = nodes.where("is_leaf").select("commit_hash", F.col("hash").alias("chunk_hash"))
+    rest = refs.select("commit_hash", "chunk_hash").join(nodes.where("node_path = ''").select("commit_hash"), "commit_hash", "left_anti")
+    return leaves.unionAll(rest)
+
+
+def uses_trees(source_commits: DataFrame, target_commits: DataFrame, nodes: DataFrame) -> bool:
+    """Whether a delta of trees is possible: something is missing, and the newest common and the newest missing commit have trees."""
+    base = newest_common_commit(source_commits, target_commits).select("commit_hash")
+    newest = missing_commits(source_commits, target_commits).orderBy(F.col("timestamp").desc(), F.col("commit_hash").desc()).limit(1).select("commit_hash")
+    return trees_of(nodes.where("node_path = ''"), base.unionAll(newest)).count() == 2
+
+
 def plan(wanted: DataFrame, source_objects: DataFrame, target_objects: DataFrame) -> DataFrame:
     """chunk_hash and action: skip (the target has it), send, or absent (the source lacks it)."""
     t = target_objects.select("chunk_hash", F.lit(True).alias("t"))

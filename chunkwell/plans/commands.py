@@ -8,16 +8,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import merkle, scalars
-from ..functions.codec import compress
 from ..operators import chunking, dag, delta, integrity, merge, metadata, store, sync
 from ..sources.catalog import MARK, Catalog
+from ..sources.session import mark, release, written
 
 SIZES = (scalars.MIN_SIZE, scalars.AVG_SIZE, scalars.MAX_SIZE)
 
 
 class Repository:
-    """A working folder with its tables. files arguments are DataFrames (path, content) or None for the working folder."""
+    """A working folder with its tables. files arguments are DataFrames (path, content), or (path, place) as of working_files().
+
+    Executors open working files by themselves, so the folder must be one that they share.
+    """
 
     def __init__(self, spark: SparkSession, root: str, sizes: tuple[int, int, int] = SIZES) -> None:
         self.spark, self.root, self.sizes = spark, root.rstrip("/"), sizes
@@ -35,49 +39,80 @@ class Repository:
         return self
 
     def working_files(self, paths: list[str]) -> DataFrame:
-        """path (below the root), content of files of the working folder; errors for what can't be added."""
-        full = []
+        """path (below the root), place of files of the working folder; errors for what can't be added."""
+        found = {}
         for p in paths:
-            place = scalars.safe_join(self.root, scalars.to_repo_relative(Path(self.root) / p, self.root))
+            name = scalars.to_repo_relative(Path(self.root) / p, self.root)
+            place = scalars.safe_join(self.root, name)
             if not place.exists():
                 raise FileNotFoundError(p)
             if place.is_dir() or place.stat().st_size == 0:
                 raise ValueError(f"{p} is " + ("a folder" if place.is_dir() else "empty"))
-            full.append(str(place))
-        rows = self.spark.read.format("binaryFile").load(full)
-        return rows.select(scalars.relative_path(F.col("path"), str(Path(self.root).resolve())).alias("path"), "content")
+            found[name] = str(place)
+        return chunking.places(self.spark, found)
+
+    def tracked_files(self) -> DataFrame:
+        """path, place of every tracked file; UnsafePathError if one would lie outside the working folder."""
+        files = self.catalog.read("files")
+        tracked = metadata.list_files(files, "tracked")
+        names = (files if tracked.isEmpty() else tracked).select("path")
+        bad = names.where(~scalars.is_safe_path(F.col("path"))).first()
+        if bad is not None:
+            raise scalars.UnsafePathError(bad.path)
+        root = str(Path(self.root).resolve())
+        return names.select("path", F.concat(F.lit(root + "/"), "path").alias("place")).repartition("path")
+
+    def _chunks(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """file_states() and chunk rows of files, each written once. What the boundary cache knows isn't cut again, and
+        what it doesn't know goes there. FileNotFoundError, and nothing written, if a file isn't there."""
+        c = self.catalog
+        states = written(chunking.file_states(files), "states")
+        gone = files.select("path").join(states, "path", "left_anti")
+        if "place" in files.columns and (lost := gone.count()) > 0:
+            names = ", ".join(r.path for r in gone.orderBy("path").limit(20).collect())
+            raise FileNotFoundError(f"{lost} tracked files aren't in the working folder: {names}; restore them, or stop tracking them by rm")
+        cached = metadata.cached_chunks(states, c.read("chunk_cache"))
+        known = cached.where("cached is not null").select("path", F.posexplode("cached").alias("chunk_order", "k"))
+        again = known.select("path", "chunk_order", F.col("k.offset").alias("chunk_offset"), F.col("k.length").alias("chunk_length"), F.col("k.hash").alias("chunk_hash"))
+        todo = written(cached.where("cached is null").select("path", "file_hash", "size"), "todo")
+        if todo.isEmpty():
+            return states, written(again, "rows")
+        rows = written(chunking.chunk_files(files.join(todo.select("path"), "path", "left_semi"), self.sizes, empty=True).unionByName(again), "rows")
+        lists = rows.join(todo, "path").where("size > 0").groupBy("path", "file_hash", "size").agg(F.array_sort(F.collect_list(F.struct("chunk_order", F.col("chunk_hash").alias("hash"), F.col("chunk_offset").alias("offset"), F.col("chunk_length").alias("length")))).alias("l"))
+        cache = lists.select("file_hash", F.transform("l", lambda x: F.struct(x["hash"].alias("hash"), x["offset"].alias("offset"), x["length"].alias("length"))).alias("chunks"), F.col("size").alias("file_size"), F.size("l").alias("chunk_count"))
+        c.ignore("chunk_cache", cache, "chunk_count")
+        return states, rows
+
+    def _store(self, files: DataFrame, rows: DataFrame) -> int:
+        """Append the objects and records that are missing for chunk rows; how many objects. The anti join is of hashes
+        alone: only bytes of missing chunks are read again, and only these reach the codec."""
+        c = self.catalog
+        first = rows.join(store.missing_from(rows, c.read("objects")), "chunk_hash").groupBy("chunk_hash").agg(F.min(F.struct("path", "chunk_offset", "chunk_length")).alias("f"))
+        wanted = written(first.select("chunk_hash", "f.*"), "wanted")
+        n = wanted.count()
+        if n:
+            c.append("objects", store.new_objects(chunking.pieces(files, wanted)))
+        stored = c.read("objects").select("chunk_hash", "raw_bytes", "stored_bytes")
+        lost = wanted.join(stored, "chunk_hash", "left_anti").first() if n else None
+        if lost is not None:
+            raise RuntimeError(f"{lost.path} changed while it was read")
+        records = stored.join(rows.select("chunk_hash").distinct(), "chunk_hash", "left_semi")
+        c.ignore("chunks", records.select("chunk_hash", F.col("raw_bytes").alias("size_uncompressed"), F.col("stored_bytes").alias("size_compressed"), F.current_timestamp().alias("created_at")), "size_uncompressed")
+        return n
 
     def add(self, files: DataFrame) -> DataFrame:
-        """Store the missing chunks of files (path, content) and track them; one row of what was new and reused.
+        """Store the missing chunks of files and track them; one row of what was new and reused.
 
         A file whose whole hash is in the boundary cache isn't chunked again.
         """
-        c = self.catalog
-        hashed = files.withColumn("file_hash", F.sha2(F.col("content").cast("binary"), 256))
-        cached = metadata.cached_chunks(hashed, c.read("chunk_cache"))
-        known = cached.where("cached is not null").select("path", "content", "file_hash", F.posexplode("cached").alias("chunk_order", "k"))
-        again = known.select("path", "chunk_order", F.col("k.offset").alias("chunk_offset"), F.col("k.length").alias("chunk_length"), F.col("k.hash").alias("chunk_hash"), F.col("content").cast("binary").substr(F.col("k.offset").cast("int") + 1, F.col("k.length").cast("int")).alias("data"))
-        rows = chunking.chunk_files(cached.where("cached is null").select("path", "content"), self.sizes, data=True).unionByName(again)
-        objects = c.read("objects")
-        marked = chunking.new_or_reused(rows.drop("data"), objects)
-        stats = marked.agg(F.count("*").alias("chunks"), F.count_if("is_new").alias("new_chunks"), F.count_if(~F.col("is_new")).alias("reused_chunks"), F.sum("chunk_length").alias("bytes")).collect()
-        self._store(rows)
-        lists = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("chunk_order", F.col("chunk_hash").alias("hash"), F.col("chunk_offset").alias("offset"), F.col("chunk_length").alias("length")))).alias("l"))
-        cache = hashed.select("path", "file_hash", F.octet_length("content").cast("bigint").alias("file_size")).join(lists, "path")
-        cache = cache.select("file_hash", F.transform("l", lambda x: F.struct(x["hash"].alias("hash"), x["offset"].alias("offset"), x["length"].alias("length"))).alias("chunks"), "file_size", F.size("l").alias("chunk_count")).dropDuplicates(["file_hash"])
-        c.upsert("chunk_cache", cache)
-        now = time.time()
-        c.upsert("files", hashed.select("path", "file_hash", F.octet_length("content").cast("bigint").alias("size"), F.lit(now).alias("last_modified"), F.lit("tracked").alias("status"), F.current_timestamp().alias("updated_at")))
-        return self.spark.createDataFrame(stats)
-
-    def _store(self, rows: DataFrame) -> None:
-        """Append the objects and chunk records that are missing: the anti join comes before the codec."""
-        c = self.catalog
-        new = store.missing_from(rows, c.read("objects")).withColumn("payload", compress(F.col("data")))
-        c.append("objects", new.withColumn("prefix", F.substring("chunk_hash", 1, 2)))
-        sizes = store.object_sizes(c.read("objects"))
-        records = rows.join(sizes, "chunk_hash").select("chunk_hash", F.col("chunk_length").alias("size_uncompressed"), F.col("stored_bytes").alias("size_compressed"), F.current_timestamp().alias("created_at"))
-        c.ignore("chunks", records, "size_uncompressed")
+        since = mark(self.spark)
+        states, rows = self._chunks(files)
+        new = self._store(files, rows)
+        total = rows.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("chunk_length"), F.lit(0)).alias("bytes")).first()
+        now = F.lit(time.time())
+        self.catalog.upsert("files", states.select("path", "file_hash", "size", now.alias("last_modified"), F.lit("tracked").alias("status"), F.current_timestamp().alias("updated_at")))
+        release(self.spark, since)
+        return self.spark.createDataFrame([(total.chunks, new, total.chunks - new, total.bytes)], "chunks bigint, new_chunks bigint, reused_chunks bigint, bytes bigint")
 
     def rm(self, path: str, recursive: bool = False) -> int:
         """Stop tracking a file, or with recursive all below a folder; how many. KeyError if nothing is there."""
@@ -104,44 +139,116 @@ class Repository:
         row = self.catalog.read("refs").where(F.col("ref_name") == ref).first() or metadata.latest_commit(self.catalog.read("commits")).first()
         return ref, row.commit_hash if row else None
 
-    def commit(self, message: str, author: str | None = None, at: float | None = None) -> str:
-        """A snapshot of the tracked files; its hash. References come first and the commit's row last, which makes it visible."""
+    def commit(self, message: str, author: str | None = None, at: float | None = None, staged: bool = False) -> str:
+        """A snapshot of the tracked files as they are in the working folder now; its hash.
+
+        Every file is hashed; one whose hash is in the boundary cache isn't cut, and chunks that the store lacks, also
+        after gc, are stored. FileNotFoundError if a tracked file is gone: nothing is written then. staged: take files
+        as they were added, for those that came from elsewhere; refused if the store lacks one of their chunks.
+        """
         if not message.strip():
             raise ValueError("an empty message")
-        c = self.catalog
-        files = metadata.list_files(c.read("files"), "tracked")
-        if files.isEmpty():
+        since = mark(self.spark)
+        if self.catalog.read("files").isEmpty():
             raise ValueError("nothing to commit")
-        lists = files.join(c.read("chunk_cache"), "file_hash", "left").select("path", "chunks")
-        if not lists.where("chunks is null").isEmpty():
-            raise FileNotFoundError("a tracked file has no chunks")
-        rows = lists.select("path", F.posexplode("chunks").alias("chunk_order", "k")).select("path", "chunk_order", F.col("k.hash").alias("chunk_hash"), F.col("k.offset").alias("chunk_offset"), F.col("k.length").alias("chunk_length"))
-        return self._write_commit(rows, message, author, at, None)
+        if staged:
+            rows = self._staged()
+        else:
+            files = self.tracked_files()
+            rows = self._chunks(files)[1]
+            self._store(files, rows)
+        commit = self._write_commit(rows, message, author, at, None)
+        release(self.spark, since)
+        return commit
+
+    def _staged(self) -> DataFrame:
+        c = self.catalog
+        lists = metadata.list_files(c.read("files"), "tracked").join(c.read("chunk_cache"), "file_hash", "left").select("path", "chunks")
+        rows = lists.select("path", F.posexplode_outer("chunks").alias("chunk_order", "k")).select("path", "chunk_order", F.col("k.hash").alias("chunk_hash"), F.col("k.offset").alias("chunk_offset"), F.col("k.length").alias("chunk_length"))
+        rows = written(rows, "rows")
+        lost = rows.join(c.read("objects").select("chunk_hash"), "chunk_hash", "left_anti").orderBy("path").first()
+        if lost is not None:
+            raise FileNotFoundError(f"{lost.path}: the store has not all of its chunks; add it again")
+        return rows
 
     def _write_commit(self, rows: DataFrame, message: str, author: str | None, at: float | None, parents: list[str] | None) -> str:
+        """References and the tree come first and the commit's row last, which makes it visible."""
         c = self.catalog
         ref, head = self.head()
         parents = parents if parents is not None else [head] if head else []
         at = time.time() if at is None else at
-        numbered = metadata.numbered_refs(rows, "")
-        root = merkle.root(numbered.withColumn("pos", F.col("ref_seq") - 1), "pos", "chunk_hash")
-        spark, text = self.spark, repr(float(at))
+        numbered = written(metadata.numbered_refs(rows, ""), "refs")
+        nodes = written(merkle.nodes(numbered, [], "ref_seq", "chunk_hash"), "nodes")
+        top = nodes.where("node_path = ''").first()
+        if top is None:
+            raise ValueError("nothing to commit")
+        spark, text, root = self.spark, repr(float(at)), top.hash
         commit = spark.range(1).select(scalars.commit_hash(F.lit(root), F.lit(message), F.lit(text), F.lit(parents[0] if parents else None)).alias("h")).first().h
+        if not c.read("commits").where(F.col("commit_hash") == commit).isEmpty():
+            raise ValueError(f"commit {commit[:12]} exists")
+        self._clear([commit])  # of a commit that was begun and not ended
         c.append("chunk_refs", numbered.withColumn("commit_hash", F.lit(commit)))
+        c.append("merkle_nodes", nodes.withColumn("commit_hash", F.lit(commit)))
         if parents:
-            c.replace("commit_parents", c.read("commit_parents").unionByName(spark.createDataFrame([(commit, p, i) for i, p in enumerate(parents)], "commit_hash string, parent_hash string, ordinal int")))
-        row = spark.createDataFrame([(commit, parents[0] if parents else None, message, author, float(at), root)], "commit_hash string, parent_hash string, message string, author string, timestamp double, merkle_root_hash string")
-        c.replace("commits", c.read("commits").unionByName(row))
+            c.append("commit_parents", spark.createDataFrame([(commit, p, i) for i, p in enumerate(parents)], "commit_hash string, parent_hash string, ordinal int"))
+        c.append("commits", spark.createDataFrame([(commit, parents[0] if parents else None, message, author, float(at), root)], "commit_hash string, parent_hash string, message string, author string, timestamp double, merkle_root_hash string"))
         c.upsert("refs", self._ref(ref, commit))
-        c.set_config("HEAD", ref)
+        if c.config("HEAD") != ref:
+            c.set_config("HEAD", ref)
         return commit
 
+    def _clear(self, commits: list[str]) -> None:
+        """Take out what tables other than commits have of some commits."""
+        c = self.catalog
+        for name in ("chunk_refs", "merkle_nodes"):
+            if not c.read(name).where(F.col("commit_hash").isin(commits)).isEmpty():
+                c.replace_partitions(name, commits)
+        parents = c.read("commit_parents")
+        if not parents.where(F.col("commit_hash").isin(commits)).isEmpty():
+            c.replace("commit_parents", parents.where(~F.col("commit_hash").isin(commits)))
+
+    def delete_commit(self, commit: str) -> bool:
+        """Take a commit's row out, then its references, tree and parents; whether it was there. Its chunks stay until gc."""
+        commits = self.catalog.read("commits")
+        there = not commits.where(F.col("commit_hash") == commit).isEmpty()
+        if there:
+            self.catalog.replace("commits", commits.where(F.col("commit_hash") != commit))
+            self._clear([commit])
+        return there
+
     def _ref(self, name: str, commit: str) -> DataFrame:
         return self.spark.createDataFrame([(name, commit)], "ref_name string, commit_hash string").withColumn("updated_at", F.current_timestamp())
 
+    def set_ref(self, name: str, commit: str | None) -> None:
+        """Let a ref name a commit; None deletes it."""
+        if commit is None:
+            self.catalog.replace("refs", self.catalog.read("refs").where(F.col("ref_name") != name))
+        else:
+            self.catalog.upsert("refs", self._ref(name, commit))
+
     def refs_of(self, commit: str) -> DataFrame:
         return metadata.commit_chunk_refs(self.catalog.read("chunk_refs"), commit)
 
+    def tree(self, commit: str) -> DataFrame:
+        """The stored tree of a commit as nodes; no rows if it has none."""
+        return self.catalog.read("merkle_nodes").where(F.col("commit_hash") == commit)
+
+    def export_tree(self, commit: str) -> str | None:
+        """The tree as nested JSON; None without one."""
+        row = merkle.to_json(merkle.leaves_of(self.tree(commit), []), [], "leaf_pos", "hash").first()
+        return row.tree_json if row else None
+
+    def import_tree(self, commit: str, text: str) -> int:
+        """Store a tree from its JSON for a commit that has none; how many nodes. ValueError if it isn't the commit's."""
+        known = metadata.by_key(self.catalog.read("commits"), "commit_hash", commit).first()
+        nodes = merkle.parse(text)
+        if known is None or not nodes or nodes[0][2] != known.merkle_root_hash:
+            raise ValueError(f"no tree of commit {commit[:12]}")
+        if self.tree(commit).isEmpty():
+            rows = self.spark.createDataFrame([(commit, *n) for n in nodes], schemas.MERKLE_NODES)
+            self.catalog.append("merkle_nodes", rows)
+        return len(nodes)
+
     def delta(self, old: str, new: str) -> DataFrame:
         return delta.delta_by_set(self.refs_of(old), self.refs_of(new))
 
@@ -163,30 +270,28 @@ class Repository:
         return row.commit_hash
 
     def checkout(self, ref: str, write: bool = True) -> DataFrame:
-        """path, content, size_ok of a commit's files; written to the working folder after every row proved right."""
+        """path, size, size_ok of a commit's files; written to the working folder after every row proved right.
+
+        A file is written chunk by chunk, in order, by one task, and renamed when it is whole: no row holds a file.
+        """
         commit = self.resolve(ref)
-        refs, c = self.refs_of(commit), self.catalog
-        integrity.require_ok(integrity.scan(refs.select("chunk_hash"), c.read("objects")))
-        data = store.retrieve(refs.select("chunk_hash").distinct(), c.read("objects"), verify=True)
-        files = integrity.restore(refs, data)
+        refs, objects = self.refs_of(commit), self.catalog.read("objects")
+        known = written(integrity.measured(refs.select("chunk_hash"), objects), "measured")
+        integrity.require_ok(known)
+        files = written(integrity.restorable(refs, known), "files")
         if not files.where(~F.col("size_ok") | ~scalars.is_safe_path(F.col("path"))).isEmpty():
             raise integrity.ChunkIntegrityError(f"commit {commit[:12]} can't be restored")
         if write:
-            root = str(Path(self.root).resolve())
-
-            def put(rows) -> None:
-                from chunkwell.functions.scalars import safe_join
-
-                for r in rows:
-                    place = safe_join(root, r.path)
-                    place.parent.mkdir(parents=True, exist_ok=True)
-                    part = place.with_name(place.name + ".part")
-                    part.write_bytes(r.content)
-                    part.replace(place)
-
-            files.foreachPartition(put)
+            data = store.retrieve(refs.select("chunk_hash").distinct(), objects, verify=True)
+            rows = refs.select("file_path", "chunk_order", "chunk_hash").join(data, "chunk_hash").select("file_path", "chunk_order", "data")
+            rows.repartition("file_path").sortWithinPartitions("file_path", "chunk_order").foreachPartition(_writer(str(Path(self.root).resolve())))
         return files
 
+    def read_files(self, ref: str) -> DataFrame:
+        """path, content, size_ok of a commit's files, each in a row: for files below 2 GB."""
+        refs = self.refs_of(self.resolve(ref))
+        return integrity.restore(refs, store.retrieve(refs.select("chunk_hash").distinct(), self.catalog.read("objects"), verify=True))
+
     # ---- branches, merge
 
     def branches(self) -> DataFrame:
@@ -243,24 +348,50 @@ class Repository:
         verified = active if scope == "referenced" else active.union(objects.select("chunk_hash"))
         return integrity.fsck(active, c.read("chunks"), objects, integrity.scan(verified, objects))
 
+    def _remove(self, gone: DataFrame) -> None:
+        """Take objects out: only the store's partitions that hold one of them are written again, and their old files removed."""
+        c = self.catalog
+        prefixes = sorted(r.prefix for r in gone.select(F.substring("chunk_hash", 1, 2).alias("prefix")).distinct().collect())  # at most 256
+        if prefixes:
+            objects = c.read("objects").where(F.col("prefix").isin(prefixes))
+            c.replace_partitions("objects", prefixes, objects.join(gone.select("chunk_hash"), "chunk_hash", "left_anti"))
+
     def gc(self, dry_run: bool = False) -> DataFrame:
         """deleted, freed_bytes; live is what any commit references, so staged chunks are garbage."""
-        c = self.catalog
-        active = metadata.active_chunks(c.read("chunk_refs"))
-        kept, stats = store.collect_garbage(c.read("objects"), active)
-        rows = self.spark.createDataFrame(stats.collect())
+        c, since = self.catalog, mark(self.spark)
+        gone = written(store.garbage(c.read("objects"), metadata.active_chunks(c.read("chunk_refs"))).select("chunk_hash", "stored_bytes"), "garbage")
+        rows = self.spark.createDataFrame(store.freed(gone).collect())
         if not dry_run:
+            self._remove(gone)
             orphans = metadata.orphan_chunks(c.read("chunks"), c.read("chunk_refs"))
-            c.replace("objects", kept)
-            c.replace("chunks", metadata.delete_chunk_records(c.read("chunks"), c.read("chunk_refs"), orphans))
+            if not orphans.isEmpty():
+                c.replace("chunks", metadata.delete_chunk_records(c.read("chunks"), c.read("chunk_refs"), orphans))
+        release(self.spark, since)
         return rows
 
+    def delete_chunk(self, chunk_hash: str) -> bool:
+        """Take an object out of the store, whatever references it; whether it was there."""
+        gone = self.catalog.read("objects").where((F.col("prefix") == chunk_hash[:2]) & (F.col("chunk_hash") == chunk_hash)).select("chunk_hash")
+        there = not gone.isEmpty()
+        if there:
+            self._remove(self.spark.createDataFrame([(chunk_hash,)], "chunk_hash string"))
+        return there
+
+    def cache_size(self) -> int:
+        return self.catalog.read("chunk_cache").count()
+
+    def clear_cache(self) -> int:
+        """Forget all chunk boundaries; how many files' there were."""
+        n = self.cache_size()
+        self.catalog.replace("chunk_cache", self.catalog.read("chunk_cache").limit(0), purge=True)
+        return n
+
     def migrate(self, legacy: DataFrame, dry_run: bool = False) -> DataFrame:
-        """Take a flat store's objects (chunk_hash, payload) into the partitioned one; migrated, bytes."""
-        after, stats = store.migrate(self.catalog.read("objects"), legacy)
-        rows = self.spark.createDataFrame(stats.collect())
+        """Take a flat store's objects (chunk_hash, payload) into the partitioned one; migrated, bytes. Only new ones are written."""
+        objects = self.catalog.read("objects")
+        rows = self.spark.createDataFrame(store.migrate(objects, legacy)[1].collect())
         if not dry_run:
-            self.catalog.replace("objects", after)
+            self.catalog.append("objects", store.migrated(objects, legacy))
         return rows
 
     # ---- sync
@@ -274,38 +405,61 @@ class Repository:
         return _transfer(Repository(self.spark, remote, self.sizes).open(), self, commit, sync_refs)
 
 
+def _writer(root: str):
+    """For foreachPartition: rows (file_path, chunk_order, data) in order of path and place, to files below root."""
+
+    def put(rows) -> None:
+        from itertools import groupby
+
+        from chunkwell.functions.scalars import safe_join
+
+        for path, parts in groupby(rows, lambda r: r.file_path):
+            place = safe_join(root, path)
+            place.parent.mkdir(parents=True, exist_ok=True)
+            part = place.with_name(place.name + ".part")
+            with open(part, "wb") as f:
+                for r in parts:
+                    f.write(r.data)
+            part.replace(place)
+
+    return put
+
+
 def _transfer(source: Repository, target: Repository, commit: str | None, sync_refs: bool) -> DataFrame:
-    """Objects first, then chunk records, references and parents, and the commits' rows last."""
+    """Objects first, then chunk records, references, trees and parents, and the commits' rows last."""
     s, t = source.catalog, target.catalog
+    since = mark(target.spark)
     t.check()
     theirs = t.read("commits")
     mine = s.read("commits") if commit is None else s.read("commits").where(F.col("commit_hash") == source.resolve(commit))
-    common = not s.read("commits").join(theirs.select("commit_hash"), "commit_hash", "left_semi").isEmpty()
+    held = sync.leaves_or_refs(s.read("merkle_nodes"), s.read("chunk_refs"))
     if commit is None:
-        wanted = sync.candidates(mine, s.read("chunk_refs"), theirs)
+        wanted, used = sync.candidates(mine, held, theirs), sync.uses_trees(mine, theirs, s.read("merkle_nodes"))
     else:
-        wanted = s.read("chunk_refs").join(dag.missing_commits(mine, theirs).select("commit_hash"), "commit_hash", "left_semi").select("chunk_hash").distinct()
-    actions = sync.plan(wanted, s.read("objects"), t.read("objects"))
+        wanted, used = held.join(dag.missing_commits(mine, theirs).select("commit_hash"), "commit_hash", "left_semi").select("chunk_hash").distinct(), False
+    actions = written(sync.plan(wanted, s.read("objects"), t.read("objects")), "actions")
     absent = actions.where("action = 'absent'").first()
     if absent is not None:
         raise FileNotFoundError(f"chunk {absent.chunk_hash[:12]} isn't in the source store")
-    missing = dag.missing_commits(mine, theirs)
-    stats = target.spark.createDataFrame(sync.stats(actions, store.object_sizes(s.read("objects")), missing, common and commit is None).collect())  # one row
-    t.append("objects", sync.transfer(wanted, s.read("objects"), t.read("objects")))
+    missing = written(dag.missing_commits(mine, theirs), "missing")
+    stats = target.spark.createDataFrame(sync.stats(actions, store.object_sizes(s.read("objects")), missing, used).collect())  # one row
+    t.append("objects", s.read("objects").join(actions.where("action = 'send'").select("chunk_hash"), "chunk_hash", "left_semi"))
     gone = missing.select("commit_hash")
     rows = s.read("chunk_refs").join(gone, "commit_hash", "left_semi")
     t.ignore("chunks", s.read("chunks").join(rows.select("chunk_hash"), "chunk_hash", "left_semi"), "size_uncompressed")
-    parents = s.read("commit_parents").join(gone, "commit_hash", "left_semi")
-    new = target.spark.createDataFrame(missing.collect(), s.read("commits").schema) if missing.count() <= 10_000 else missing
+    begun = [r.commit_hash for r in t.read("chunk_refs").join(gone, "commit_hash", "left_semi").select("commit_hash").distinct().collect()]  # of transfers that didn't end
+    if begun:
+        target._clear(begun)
     t.append("chunk_refs", rows)
-    t.replace("commit_parents", t.read("commit_parents").unionByName(parents))
-    t.replace("commits", t.read("commits").unionByName(new))
+    t.append("merkle_nodes", s.read("merkle_nodes").join(gone, "commit_hash", "left_semi"))
+    t.append("commit_parents", s.read("commit_parents").join(gone, "commit_hash", "left_semi"))
+    t.append("commits", missing)
     if sync_refs:
         t.upsert("refs", s.read("refs"))
+    release(target.spark, since)
     return stats
 
 
 def find_root(start: str = ".") -> str | None:
     found = scalars.resolve_repo_root(start, MARK)
     return str(found) if found else None
-

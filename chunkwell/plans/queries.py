@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import merkle, scalars
 from ..functions.codec import compress, decompress
 from ..operators import chunking, dag, delta, integrity, merge, metadata, store, sync
+from ..sources.session import written
 from .fixtures import SQL, branches, chunks, commits, files, parents, refs, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +52,8 @@ def file_info(spark: SparkSession, d: str) -> DataFrame:
     return chunking.file_info(files(spark, d).where("content is not null").select("path", F.octet_length("content").cast("bigint").alias("length")))
 
 
-@query("""
+#: Content-defined chunks of sizes 64, 256 and 1024, byte by byte: r walks, cdc has the chunks.
+_CDC = """
 , gear AS (SELECT list(CAST(concat('0x', left(sha256(CAST(b AS VARCHAR)), 8)) AS BIGINT) & 2147483647 ORDER BY b) AS g FROM range(256) t(b)),
 bytes AS (SELECT path, hex(content) AS h, strlen(content) AS n FROM f1 WHERE content IS NOT NULL AND content <> ''),
 r AS (
@@ -62,33 +64,52 @@ r AS (
         SELECT *, j = n OR j - s = 1024 OR (j - s > 64 AND q & (CASE WHEN j - s - 1 < 160 THEN 511 ELSE 127 END) = 0) AS done
         FROM (
             SELECT path, h, n, s, j, CASE WHEN j - s <= 64 THEN 0 ELSE (p >> 1) + (SELECT g FROM gear)[CAST(concat('0x', substr(h, CAST(2 * j - 1 AS BIGINT), 2)) AS INT) + 1] END AS q
-            FROM (SELECT *, CASE WHEN i = s THEN least(i + 64, n) ELSE i + 1 END AS j FROM r WHERE i < n))))
-SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS INT) AS chunk_order, CAST(i - cut AS BIGINT) AS chunk_offset, CAST(cut AS BIGINT) AS chunk_length FROM r WHERE cut > 0""", recursive=True)
+            FROM (SELECT *, CASE WHEN i = s THEN least(i + 64, n) ELSE i + 1 END AS j FROM r WHERE i < n)))),
+cdc AS (
+    SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS INT) AS chunk_order, CAST(i - cut AS BIGINT) AS chunk_offset, CAST(cut AS BIGINT) AS chunk_length,
+           sha256(unhex(substr(h, 2 * (i - cut) + 1, 2 * cut))) AS chunk_hash
+    FROM r WHERE cut > 0)
+"""
+
+
+@query(f"{_CDC} SELECT path, chunk_order, chunk_offset, chunk_length FROM cdc", recursive=True)
 def cdc_boundaries(spark: SparkSession, d: str) -> DataFrame:
     return chunking.boundaries(_binary(spark, d), chunking.SMALL)
 
 
-@query()
+@query(f"{_CDC} SELECT path, chunk_order, chunk_offset, chunk_length, chunk_hash FROM cdc", recursive=True)
 def cdc_chunk_hashes(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_files(_binary(spark, d), chunking.SMALL)
 
 
-@query()
+_SUMMARY = "count(DISTINCT path) AS files, count(*) AS chunks, count(DISTINCT chunk_hash) AS unique_chunks, CAST(sum(chunk_length) AS BIGINT) AS raw_bytes"
+_BY_LANG = f"""SELECT a.lang, files, chunks, unique_chunks, raw_bytes, unique_bytes, round(100.0 * (chunks - unique_chunks) / chunks, 4) AS dedup_percent
+    FROM (SELECT split_part(path, '/', 2) AS lang, {_SUMMARY} FROM {{0}} GROUP BY 1) a
+    JOIN (SELECT lang, CAST(sum(l) AS BIGINT) AS unique_bytes FROM (SELECT split_part(path, '/', 2) AS lang, chunk_hash, max(chunk_length) AS l FROM {{0}} GROUP BY 1, 2) GROUP BY 1) b ON a.lang = b.lang"""
+
+
+def _lang(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("lang", F.get(F.split("path", "/"), F.lit(1)))
+
+
+@query(_CDC + _BY_LANG.format("cdc"), recursive=True)
 def cdc_dedup_summary(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: content-defined chunks of all documents, deduplicated by language."""
-    c = chunking.chunk_files(_binary(spark, d), chunking.SMALL)
-    return chunking.dedup_summary(c.withColumn("lang", F.get(F.split("path", "/"), F.lit(1))), "lang")
+    return chunking.dedup_summary(_lang(chunking.chunk_files(_binary(spark, d), chunking.SMALL)), "lang")
 
 
-@query()
+_CONTIGUOUS = "SELECT path, count(*) AS chunks, CAST(sum(chunk_length) AS BIGINT) AS bytes, bool_and(ok) AS contiguous FROM (SELECT *, chunk_offset = coalesce(lag(chunk_offset + chunk_length) OVER (PARTITION BY path ORDER BY chunk_order), 0) AS ok FROM {0}) GROUP BY path"
+
+
+@query(_CDC + _CONTIGUOUS.format("cdc"), recursive=True)
 def cdc_contiguity(spark: SparkSession, d: str) -> DataFrame:
     return chunking.contiguity(chunking.boundaries(_binary(spark, d), chunking.SMALL))
 
 
-@query()
+@query(f"{_CDC} SELECT path, chunk_order, chunk_offset, chunk_length, chunk_hash FROM cdc", recursive=True)
 def cdc_table_function(spark: SparkSession, d: str) -> DataFrame:
     chunking.cdc_udtf(spark)
-    _binary(spark, d).where("content is not null").createOrReplaceTempView("cdc_files")
+    chunking.spread(_binary(spark, d).where("content is not null")).createOrReplaceTempView("cdc_files")
     return spark.sql("SELECT path, c.* FROM cdc_files, LATERAL cdc(content) c")
 
 
@@ -102,31 +123,31 @@ def line_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d)
 
 
-@query("SELECT path, count(*) AS chunks, CAST(sum(chunk_length) AS BIGINT) AS bytes, bool_and(ok) AS contiguous FROM (SELECT *, chunk_offset = coalesce(lag(chunk_offset + chunk_length) OVER (PARTITION BY path ORDER BY chunk_order), 0) AS ok FROM c1) GROUP BY path")
+@query(_CONTIGUOUS.format("c1"))
 def chunk_contiguity(spark: SparkSession, d: str) -> DataFrame:
     return chunking.contiguity(chunks(spark, d))
 
 
-@query("SELECT path, sha256(substr(content, 11, 20)) AS piece FROM f1 WHERE content IS NOT NULL AND strlen(content) = length(content)")
+@query("SELECT path, sha256(unhex(substr(hex(content), 21, 40))) AS piece FROM f1 WHERE content IS NOT NULL")
 def read_chunk_at(spark: SparkSession, d: str) -> DataFrame:
-    ascii_only = files(spark, d).where("octet_length(content) = char_length(content)")
-    return chunking.read_chunk_at(ascii_only, 10, 20).select("path", F.sha2("data", 256).alias("piece"))
+    return chunking.read_chunk_at(files(spark, d).where("content is not null"), 10, 20).select("path", F.sha2("data", 256).alias("piece"))
 
 
-@query("SELECT path, sha256(unhex(substr(hex(content), 21, 40))) AS piece FROM f1 WHERE content IS NOT NULL")
-def read_chunk_at_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """The same range of every file, in bytes also where a character has several."""
-    return chunking.read_chunk_at(files(spark, d).where("content is not null"), 10, 20).select("path", F.sha2("data", 256).alias("piece"))
+@query("SELECT path, sha256(content) AS file_hash, strlen(content) AS size FROM f1 WHERE content IS NOT NULL")
+def file_states(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.file_states(files(spark, d))
 
 
-_SUMMARY = "count(DISTINCT path) AS files, count(*) AS chunks, count(DISTINCT chunk_hash) AS unique_chunks, CAST(sum(chunk_length) AS BIGINT) AS raw_bytes"
+@query("SELECT chunk_hash, sha256(data) AS data_hash FROM (SELECT chunk_hash, min(data) AS data FROM (SELECT chunk_hash, unhex(substr(hex(content), CAST(2 * chunk_offset + 1 AS BIGINT), CAST(2 * chunk_length AS BIGINT))) AS data FROM c1 JOIN f1 USING (path)) GROUP BY chunk_hash)")
+def chunk_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes of each distinct chunk, read again from the first file that has it."""
+    first = chunks(spark, d).groupBy("chunk_hash").agg(F.min(F.struct("path", "chunk_offset", "chunk_length")).alias("f")).select("chunk_hash", "f.*")
+    return chunking.pieces(_binary(spark, d), first).select("chunk_hash", F.sha2("data", 256).alias("data_hash"))
 
 
-@query(f"""SELECT a.lang, files, chunks, unique_chunks, raw_bytes, unique_bytes, round(100.0 * (chunks - unique_chunks) / chunks, 4) AS dedup_percent
-    FROM (SELECT split_part(path, '/', 2) AS lang, {_SUMMARY} FROM c1 GROUP BY 1) a
-    JOIN (SELECT lang, CAST(sum(l) AS BIGINT) AS unique_bytes FROM (SELECT split_part(path, '/', 2) AS lang, chunk_hash, max(chunk_length) AS l FROM c1 GROUP BY 1, 2) GROUP BY 1) b ON a.lang = b.lang""")
+@query(_BY_LANG.format("c1"))
 def dedup_summary(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.dedup_summary(chunks(spark, d).withColumn("lang", F.get(F.split("path", "/"), F.lit(1))), "lang")
+    return chunking.dedup_summary(_lang(chunks(spark, d)), "lang")
 
 
 @query("SELECT chunk_hash, count(*) AS copies, max(chunk_length) AS chunk_length FROM c1 GROUP BY 1 ORDER BY copies DESC, chunk_hash LIMIT 20")
@@ -197,10 +218,24 @@ def zstd_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("path", F.sha2("raw", 256).alias("raw_hash"), (F.col("raw") == F.col("content")).alias("same"))
 
 
-@query()
+@query("SELECT path, chunk_order, chunk_hash, CASE WHEN chunk_hash NOT IN (SELECT chunk_hash FROM c1) THEN chunk_hash END AS payload_hash FROM c2")
 def process_chunks(spark: SparkSession, d: str) -> DataFrame:
-    both = chunking.line_chunks(files(spark, d, 2))
-    return chunking.process_chunks(both, chunks(spark, d, 1)).select("path", "chunk_order", "chunk_hash", F.octet_length("payload").alias("stored_bytes"))
+    """payload_hash: of the bytes that come back out of a payload; null where no payload was made."""
+    done = chunking.process_chunks(chunking.line_chunks(files(spark, d, 2)), chunks(spark, d, 1))
+    return done.select("path", "chunk_order", "chunk_hash", F.sha2(decompress(F.col("payload")), 256).alias("payload_hash"))
+
+
+@query("SELECT chunk_hash, strlen(data) AS stored_bytes FROM stored")
+def object_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return store.object_sizes(stored(spark, d).withColumn("payload", F.col("data").cast("binary")))
+
+
+@query("SELECT k.h AS chunk_hash, CASE WHEN sha256(data) = k.h THEN strlen(data) END AS size FROM (SELECT DISTINCT sha256(content) AS h FROM f1 WHERE content IS NOT NULL) k LEFT JOIN stored ON stored.chunk_hash = k.h")
+def retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """Verified bytes of every file; none where the store lacks it or has something else."""
+    objects = stored(spark, d).select("chunk_hash", compress(F.col("data").cast("binary")).alias("payload"))
+    wanted = _manifest(spark, d).select(F.col("file_hash").alias("chunk_hash")).distinct()
+    return store.retrieve(wanted, objects, verify=True).select("chunk_hash", F.octet_length("data").cast("bigint").alias("size"))
 
 
 # ---- Merkle trees and deltas
@@ -225,26 +260,54 @@ def merkle_root_per_lang(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f", {_LEAVES} SELECT lang, k AS level, pos, hash FROM lv WHERE v = 'v1'", recursive=True)
 def merkle_levels(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for k, df in enumerate(merkle.levels(_by_lang(spark, d, 1), ["lang"], "path", "chunk_hash")):
-        # a group whose root was reached below has no more levels
-        own = df.select("lang", F.lit(k).alias("level"), "pos", "hash")
-        if out is None:
-            out, open_ = own, df
-        else:
-            out = out.unionAll(own.join(open_.groupBy("lang").agg(F.count("*").alias("n")).where("n > 1").select("lang"), "lang", "left_semi"))
-            open_ = df
-    return out
-
-
-@query()
+    return merkle.tree(_by_lang(spark, d, 1), ["lang"], "path", "chunk_hash").select("lang", "level", "pos", "hash")
+
+
+#: Nodes by their paths, walked down from the roots: an only child takes its parent's place.
+_NODES = f"""{_LEAVES},
+lw AS (SELECT lang, v, k, pos, hash, last FROM lv),
+pt AS (
+    SELECT lang, v, k, pos, last, '' AS path FROM lw WHERE last = 0
+    UNION ALL
+    SELECT lw.lang, lw.v, lw.k, lw.pos, lw.last, pt.path || CASE WHEN 2 * pt.pos = lw.last THEN '' WHEN lw.pos % 2 = 0 THEN 'L' ELSE 'R' END
+    FROM pt JOIN lw ON lw.lang = pt.lang AND lw.v = pt.v AND lw.k = pt.k - 1 AND lw.pos // 2 = pt.pos),
+nd AS (
+    SELECT pt.lang, pt.v, pt.path AS node_path, pt.k AS level, lw.hash, pt.k = 0 AS is_leaf, CASE WHEN pt.k = 0 THEN pt.pos END AS leaf_pos
+    FROM pt JOIN lw ON lw.lang = pt.lang AND lw.v = pt.v AND lw.k = pt.k AND lw.pos = pt.pos
+    LEFT JOIN lw c ON c.lang = pt.lang AND c.v = pt.v AND c.k = pt.k - 1 AND c.pos = 2 * pt.pos + 1
+    WHERE pt.k = 0 OR c.pos IS NOT NULL)"""
+_NODE_ROWS = f", {_NODES} SELECT lang, node_path, level, hash, is_leaf, leaf_pos FROM nd WHERE v = 'v1'"
+
+
+def _tree(spark: SparkSession, d: str, version: int = 1) -> DataFrame:
+    return merkle.nodes(_by_lang(spark, d, version), ["lang"], "path", "chunk_hash")
+
+
+@query(_NODE_ROWS, recursive=True)
 def merkle_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return merkle.nodes(_by_lang(spark, d, 1), ["lang"], "path", "chunk_hash")
+    return _tree(spark, d)
+
+
+@query(f""", {_LEAVES},
+js AS (
+    SELECT lang, k, pos, hash, last, '{{"hash": "' || hash || '", "is_leaf": true, "left": null, "right": null}}' AS t FROM lv WHERE v = 'v1' AND k = 0
+    UNION ALL
+    SELECT lang, k + 1, pos // 2, CASE WHEN count(*) = 2 THEN sha256(string_agg(hash, '' ORDER BY pos)) ELSE min(hash) END, min(last) // 2,
+           CASE WHEN count(*) = 2 THEN '{{"hash": "' || sha256(string_agg(hash, '' ORDER BY pos)) || '", "is_leaf": false, "left": ' || string_agg(t, ', "right": ' ORDER BY pos) || '}}' ELSE min(t) END
+    FROM js WHERE last > 0 GROUP BY lang, k, pos // 2)
+SELECT lang, t AS tree_json FROM js WHERE last = 0""", recursive=True)
+def merkle_tree_json(spark: SparkSession, d: str) -> DataFrame:
+    return merkle.to_json(_by_lang(spark, d, 1), ["lang"], "path", "chunk_hash")
+
+
+@query(_NODE_ROWS, recursive=True)
+def merkle_tree_from_json(spark: SparkSession, d: str) -> DataFrame:
+    return merkle.from_json(merkle_tree_json(spark, d), "lang", "tree_json")
 
 
 @query(f", {_LEAVES} SELECT lang, pos AS leaf_pos, hash FROM leaf WHERE v = 'v1'", recursive=True)
 def merkle_leaf_order(spark: SparkSession, d: str) -> DataFrame:
-    return merkle.leaves_of(merkle.nodes(_by_lang(spark, d, 1), ["lang"], "path", "chunk_hash"), ["lang"])
+    return merkle.leaves_of(_tree(spark, d), ["lang"])
 
 
 @query("SELECT CASE WHEN a.chunk_hash IS NULL THEN 'added' WHEN b.chunk_hash IS NULL THEN 'removed' ELSE 'unchanged' END AS status, coalesce(a.chunk_hash, b.chunk_hash) AS chunk_hash FROM (SELECT DISTINCT chunk_hash FROM c1) a FULL JOIN (SELECT DISTINCT chunk_hash FROM c2) b ON a.chunk_hash = b.chunk_hash")
@@ -252,10 +315,20 @@ def delta_by_set(spark: SparkSession, d: str) -> DataFrame:
     return delta.delta_by_set(_hashes(spark, d, 1), _hashes(spark, d, 2))
 
 
-@query()
+@query(f""", {_NODES},
+o AS (SELECT * FROM nd WHERE v = 'v1'), w AS (SELECT * FROM nd WHERE v = 'v2'),
+st AS (
+    SELECT o.lang, o.node_path, o.hash AS oh, w.hash AS nh, o.is_leaf AS ol, w.is_leaf AS nl FROM o JOIN w USING (lang, node_path) WHERE node_path = ''
+    UNION ALL
+    SELECT o.lang, o.node_path, o.hash, w.hash, o.is_leaf, w.is_leaf FROM st JOIN o ON o.lang = st.lang AND o.node_path IN (st.node_path || 'L', st.node_path || 'R') JOIN w ON w.lang = o.lang AND w.node_path = o.node_path
+    WHERE st.oh <> st.nh AND NOT st.ol AND NOT st.nl)
+SELECT lang, 'removed' AS status, oh AS hash, ol AS is_leaf FROM st WHERE oh <> nh AND (ol OR nl)
+UNION ALL SELECT lang, 'added', nh, nl FROM st WHERE oh <> nh AND (ol OR nl)
+UNION ALL SELECT o.lang, 'unchanged', o.hash, true FROM st JOIN o ON o.lang = st.lang AND starts_with(o.node_path, st.node_path) AND o.is_leaf WHERE st.oh = st.nh
+UNION ALL SELECT lang, 'removed', hash, true FROM o WHERE is_leaf AND lang NOT IN (SELECT lang FROM w)
+UNION ALL SELECT lang, 'added', hash, true FROM w WHERE is_leaf AND lang NOT IN (SELECT lang FROM o)""", recursive=True)
 def delta_positional(spark: SparkSession, d: str) -> DataFrame:
-    trees = [merkle.nodes(_by_lang(spark, d, v), ["lang"], "path", "chunk_hash") for v in (1, 2)]
-    return delta.delta_positional(*trees, ["lang"])
+    return delta.delta_positional(written(_tree(spark, d, 1), "nodes"), written(_tree(spark, d, 2), "nodes"), ["lang"])
 
 
 # ---- metadata reads
@@ -274,6 +347,18 @@ def list_files(spark: SparkSession, d: str) -> DataFrame:
     return metadata.list_files(_manifest(spark, d), "tracked").select("path", "file_hash", "size")
 
 
+@query(f"SELECT path, file_hash, size FROM ({_MANIFEST.format(v=1)}) WHERE path = (SELECT min(path) FROM f1 WHERE content IS NOT NULL)")
+def get_file(spark: SparkSession, d: str) -> DataFrame:
+    m = _manifest(spark, d)
+    return metadata.by_key(m, "path", m.agg(F.min("path")).first()[0]).select("path", "file_hash", "size")
+
+
+@query("SELECT commit_hash, message, author, event_id FROM commits WHERE commit_hash = sha256('11')")
+def get_commit(spark: SparkSession, d: str) -> DataFrame:
+    name = spark.range(1).select(F.sha2(F.lit("11"), 256)).first()[0]
+    return metadata.by_key(commits(spark, d), "commit_hash", name).select("commit_hash", "message", "author", "event_id")
+
+
 @query("SELECT commit_hash, event_id FROM commits ORDER BY micros DESC, commit_hash DESC LIMIT 1")
 def latest_commit(spark: SparkSession, d: str) -> DataFrame:
     return metadata.latest_commit(commits(spark, d).withColumn("timestamp", F.col("micros"))).select("commit_hash", "event_id")
@@ -370,11 +455,16 @@ def remove_files(spark: SparkSession, d: str) -> DataFrame:
     return metadata.delete(_manifest(spark, d, 1), files(spark, d, 2), ["path"]).select("path")
 
 
-@query("SELECT 'commit' AS kind, count(*) AS n FROM commits WHERE event_id % 5 <> 0 UNION ALL SELECT 'parent', count(*) FROM parents WHERE commit_hash NOT IN (SELECT commit_hash FROM commits WHERE event_id % 5 = 0)")
+@query("""SELECT 'commit' AS kind, commit_hash, '' AS other FROM commits WHERE event_id % 5 <> 0
+    UNION ALL SELECT 'parent', commit_hash, parent_hash FROM parents WHERE commit_hash NOT IN (SELECT commit_hash FROM commits WHERE event_id % 5 = 0)
+    UNION ALL SELECT 'reference', commit_hash, sha256(message) FROM commits WHERE event_id % 5 <> 0""")
 def delete_commit_cascade(spark: SparkSession, d: str) -> DataFrame:
-    c, p = commits(spark, d), parents(spark, d)
-    kept, _, parents_kept = metadata.delete_commits(c, refs(spark, d).limit(0), p, c.where("event_id % 5 = 0"))
-    return kept.agg(F.count("*").alias("n")).select(F.lit("commit").alias("kind"), "n").unionAll(parents_kept.agg(F.count("*").alias("n")).select(F.lit("parent"), "n"))
+    """Every fifth commit is deleted; each commit references one chunk, named after its message."""
+    c = commits(spark, d)
+    held = c.select("commit_hash", F.sha2("message", 256).alias("chunk_hash"))
+    kept, refs_kept, parents_kept = metadata.delete_commits(c, held, parents(spark, d), c.where("event_id % 5 = 0"))
+    rows = kept.select(F.lit("commit").alias("kind"), "commit_hash", F.lit("").alias("other"))
+    return rows.unionAll(parents_kept.select(F.lit("parent"), "commit_hash", "parent_hash")).unionAll(refs_kept.select(F.lit("reference"), "commit_hash", "chunk_hash"))
 
 
 @query("SELECT DISTINCT chunk_hash FROM c1 WHERE chunk_hash IN (SELECT chunk_hash FROM c2)")
@@ -402,24 +492,17 @@ def commit_history(spark: SparkSession, d: str) -> DataFrame:
     return dag.commit_history(c.withColumn("timestamp", F.col("micros").cast("double")), branches(spark, d), metadata.commit_parents(c, parents(spark, d)))
 
 
-def _pairs(spark: SparkSession, d: str, which: str = "event_id % 10 = 0") -> DataFrame:
-    """Some commits (every tenth) against the head of their author's branch and of the next one's."""
-    c = commits(spark, d).where(which)
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every commit against the head of its author's branch and of another one's."""
     b = branches(spark, d).select(F.substring("ref_name", 12, 100).alias("author"), F.col("commit_hash").alias("descendant"))
-    return c.select(F.col("commit_hash").alias("ancestor"), F.explode(F.array("author", F.concat("author", F.lit("1")))).alias("author")).join(b, "author").select("ancestor", "descendant").distinct()
+    return commits(spark, d).select(F.col("commit_hash").alias("ancestor"), F.explode(F.array("author", F.concat("author", F.lit("1")))).alias("author")).join(b, "author").select("ancestor", "descendant").distinct()
 
 
-@query(f", {_REACH} SELECT ancestor, descendant, EXISTS (SELECT 1 FROM reach WHERE start = descendant AND commit_hash = ancestor) AS is_ancestor FROM (SELECT DISTINCT c.commit_hash AS ancestor, b.commit_hash AS descendant FROM (SELECT commit_hash, author FROM commits WHERE event_id % 10 = 0 UNION ALL SELECT commit_hash, author || '1' FROM commits WHERE event_id % 10 = 0) c JOIN branches b ON substr(b.ref_name, 12) = c.author)", recursive=True)
+@query(f", {_REACH}, pairs AS (SELECT DISTINCT c.commit_hash AS ancestor, b.commit_hash AS descendant FROM (SELECT commit_hash, author FROM commits UNION ALL SELECT commit_hash, author || '1' FROM commits) c JOIN branches b ON substr(b.ref_name, 12) = c.author) SELECT ancestor, descendant, r.start IS NOT NULL AS is_ancestor FROM pairs LEFT JOIN (SELECT DISTINCT start, commit_hash FROM reach) r ON r.start = descendant AND r.commit_hash = ancestor", recursive=True)
 def is_ancestor(spark: SparkSession, d: str) -> DataFrame:
     return dag.is_ancestor(_pairs(spark, d), metadata.commit_parents(commits(spark, d), parents(spark, d)))
 
 
-@query(f", {_REACH}, pairs AS (SELECT DISTINCT c.commit_hash AS ancestor, b.commit_hash AS descendant FROM (SELECT commit_hash, author FROM commits UNION ALL SELECT commit_hash, author || '1' FROM commits) c JOIN branches b ON substr(b.ref_name, 12) = c.author) SELECT ancestor, descendant, r.start IS NOT NULL AS is_ancestor FROM pairs LEFT JOIN (SELECT DISTINCT start, commit_hash FROM reach) r ON r.start = descendant AND r.commit_hash = ancestor", recursive=True)
-def is_ancestor_all(spark: SparkSession, d: str) -> DataFrame:
-    """is_ancestor of every commit, not of every tenth."""
-    return dag.is_ancestor(_pairs(spark, d, "true"), metadata.commit_parents(commits(spark, d), parents(spark, d)))
-
-
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = commits(spark, d).withColumn("timestamp", F.col("micros"))
     return c, c.where("event_id < 700 or event_id % 3 = 0")
@@ -435,22 +518,6 @@ def newest_common_commit(spark: SparkSession, d: str) -> DataFrame:
     return dag.newest_common_commit(*_sides(spark, d)).select("commit_hash", "event_id")
 
 
-@query("""
-, wanted AS (SELECT left(commit_hash, CAST(4 + event_id % 12 AS INT)) AS ref FROM commits UNION SELECT ref_name FROM branches UNION SELECT substr(ref_name, 12) FROM branches UNION SELECT commit_hash FROM commits WHERE event_id % 9 = 0),
-found AS (
-    SELECT ref, b.commit_hash, 1 AS kind FROM wanted JOIN branches b ON ref = substr(b.ref_name, 12)
-    UNION SELECT ref, b.commit_hash, 2 FROM wanted JOIN branches b ON ref = b.ref_name
-    UNION SELECT ref, c.commit_hash, 3 FROM wanted JOIN commits c ON ref = c.commit_hash
-    UNION SELECT ref, c.commit_hash, 4 FROM wanted JOIN commits c ON left(ref, 6) = left(c.commit_hash, 6) AND starts_with(c.commit_hash, ref) WHERE length(ref) >= 6),
-n AS (SELECT ref, kind, count(*) AS n, min(commit_hash) AS h FROM found GROUP BY 1, 2),
-m AS (SELECT ref, arg_min(n, kind) AS n, arg_min(h, kind) AS h FROM n GROUP BY 1)
-SELECT ref, CASE WHEN n = 1 THEN h END AS commit_hash, coalesce(n, 0) AS n FROM wanted LEFT JOIN m USING (ref)""")
-def resolve_ref(spark: SparkSession, d: str) -> DataFrame:
-    c, b = commits(spark, d), branches(spark, d)
-    wanted = c.select(F.substring(F.col("commit_hash"), F.lit(1), (4 + F.col("event_id") % 12).cast("int")).alias("ref")).union(b.select("ref_name")).union(b.select(F.substring("ref_name", 12, 100))).union(c.where("event_id % 9 = 0").select("commit_hash")).distinct()
-    return dag.resolve(wanted, b, c)
-
-
 @query("""
 , wanted AS (SELECT left(commit_hash, CAST(1 + event_id % 15 AS INT)) AS ref FROM commits UNION SELECT ref_name FROM branches UNION SELECT substr(ref_name, 12) FROM branches UNION SELECT commit_hash FROM commits),
 found AS (
@@ -461,8 +528,8 @@ found AS (
 n AS (SELECT ref, kind, count(*) AS n, min(commit_hash) AS h FROM found GROUP BY 1, 2),
 m AS (SELECT ref, arg_min(n, kind) AS n, arg_min(h, kind) AS h FROM n GROUP BY 1)
 SELECT ref, CASE WHEN n = 1 THEN h END AS commit_hash, coalesce(n, 0) AS n FROM wanted LEFT JOIN m USING (ref)""")
-def resolve_ref_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every full hash, and prefixes from one digit up."""
+def resolve_ref(spark: SparkSession, d: str) -> DataFrame:
+    """Every full hash and branch, and prefixes from one digit up."""
     c, b = commits(spark, d), branches(spark, d)
     short = c.select(F.substring(F.col("commit_hash"), F.lit(1), (1 + F.col("event_id") % 15).cast("int")).alias("ref"))
     return dag.resolve(short.union(b.select("ref_name")).union(b.select(F.substring("ref_name", 12, 100))).union(c.select("commit_hash")).distinct(), b, c, least=1)
@@ -591,6 +658,11 @@ def format_duration(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", scalars.format_duration((F.col("event_id") % 5000 + 0.25).cast("double")).alias("text"))
 
 
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN r <= 0 THEN '-' WHEN r >= 1048576 THEN printf('%.1f MB/s', r / 1048576.0) WHEN r >= 1024 THEN printf('%.1f KB/s', r / 1024.0) ELSE printf('%.0f B/s', r) END AS text FROM (SELECT *, CAST(l_orderkey * 997 AS BIGINT) / (l_linenumber / 8.0) AS r FROM lineitem)")
+def throughput(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.throughput(F.col("l_orderkey") * 997, F.col("l_linenumber") / 8.0).alias("text"))
+
+
 @query("SELECT commit_hash, strftime(make_timestamp(micros), '%Y-%m-%d %H:%M:%S') AS at, left(commit_hash, 12) AS short, left(message, 50) AS subject FROM commits")
 def log_lines(spark: SparkSession, d: str) -> DataFrame:
     c = commits(spark, d)

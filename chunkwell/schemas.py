@@ -11,9 +11,8 @@ CONFIG = "key string, value string"
 COMMIT_PARENTS = "commit_hash string, parent_hash string, ordinal int"
 REPO_META = "key string, value string"
 CHUNK_CACHE = "file_hash string, chunks array<struct<hash:string, offset:bigint, length:bigint>>, file_size bigint, chunk_count int"
-OBJECTS = "prefix string, chunk_hash string, payload binary"
+OBJECTS = "prefix string, chunk_hash string, raw_bytes bigint, stored_bytes bigint, payload binary"
 MERKLE_NODES = "commit_hash string, node_path string, level int, hash string, is_leaf boolean, leaf_pos bigint"
-CHUNK_ROWS = "path string, chunk_order int, chunk_offset bigint, chunk_length bigint, data binary"
 
 TABLES = {
     "files": FILES, "commits": COMMITS, "chunks": CHUNKS, "chunk_refs": CHUNK_REFS, "refs": REFS, "config": CONFIG,

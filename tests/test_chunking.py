@@ -60,6 +60,23 @@ def test_chunk_rows(spark):
     assert chunking.chunk_files(df.limit(0), SMALL).count() == 0
 
 
+def test_files_at_their_places(spark, tmp_path):
+    r = random.Random(6)
+    held = {"a": r.randbytes(300_000), "_b": b"", ".c": b"z" * 64}
+    for name, data in held.items():
+        (tmp_path / name).write_bytes(data)
+    there = {name: str(tmp_path / name) for name in held}
+    files = chunking.places(spark, there | {"gone": str(tmp_path / "gone")})
+    assert {x.path: (x.file_hash, x.size) for x in chunking.file_states(files).collect()} == {n: (hashlib.sha256(d).hexdigest(), len(d)) for n, d in held.items()}
+    rows = chunking.chunk_files(files, SMALL, empty=True).cache()
+    content = spark.createDataFrame(list(held.items()), "path string, content binary")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, chunking.chunk_files(content, SMALL, empty=True).collect()))
+    assert [x.chunk_length for x in rows.where("path = '_b'").collect()] == [0] and chunking.chunk_files(files, SMALL).where("path = '_b'").count() == 0
+    for source in (files, content):
+        got = chunking.pieces(source, rows.drop("chunk_order")).collect()
+        assert len(got) == rows.count() and all(hashlib.sha256(x.data).hexdigest() == x.chunk_hash for x in got)
+
+
 def test_compress_only_what_is_missing(spark):
     import zstandard
 
