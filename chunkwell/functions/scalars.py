@@ -21,8 +21,18 @@ def chunker_signature(sizes: tuple[int, int, int] = (MIN_SIZE, AVG_SIZE, MAX_SIZ
 
 
 def _fixed(x: Column, digits: int) -> Column:
-    """x with so many digits; halves go to the even digit, as printf does and format_string alone does not."""
-    return F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits))
+    """x with so many digits, rounded as printf does: by the number's exact value, halves to the even digit.
+
+    format_string alone rounds the shortest decimal text. The product's rounding error, exact as a factor of ten has
+    few bits, tells on which side of a half the number is.
+    """
+    x, y = x.cast("double"), 10.0**digits
+    split = x * 134217729.0
+    high = split - (split - x)
+    t = x * y
+    low, error = F.floor(t), (high * y - t) + (x - high) * y
+    up = (t - low > 0.5) | ((t - low == 0.5) & ((error > 0) | ((error == 0) & (low % 2 == 1))))
+    return F.format_string(f"%.{digits}f", (low + up.cast("int")).cast("double") / y)
 
 
 def format_bytes(n: Column) -> Column:

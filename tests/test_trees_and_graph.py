@@ -172,6 +172,13 @@ def test_formats(spark):
     n = spark.createDataFrame([(0,), (1023,), (1024,), (1152,), (1536 << 10,), (3 << 40,), (5 << 60,)], "n bigint")
     assert [r[0] for r in n.select(scalars.format_bytes(F.col("n"))).collect()][:5] == ["0 bytes", "1023 bytes", "1.0 KB", "1.1 KB", "1.5 MB"]
     assert [r[0] for r in n.select(scalars.human_size(F.col("n"))).collect()] == ["0.00 B", "1023.00 B", "1.00 KB", "1.12 KB", "1.50 MB", "3.00 TB", "5120.00 PB"]
+    import random
+
+    r = random.Random(8)
+    xs = [r.choice([r.random() * 10 ** r.randint(-3, 9), r.randrange(10**6) / 20, r.randrange(10**6) / 8, r.randrange(10**7) / 1000]) for _ in range(3000)]
+    for digits in (0, 1, 2):
+        got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", scalars._fixed(F.col("x"), digits)).collect()
+        assert [(x, t) for x, t in got if t != f"{x:.{digits}f}"] == []
     s = spark.createDataFrame([(1.25,), (61.0,)], "s double")
     assert [r[0] for r in s.select(scalars.format_duration(F.col("s"))).collect()] == ["1.2s", "1m01s (61.0s)"]
 
