@@ -1,13 +1,15 @@
 """Content-defined chunking with a gear hash and normalized cut conditions, in NumPy.
 
 The hash is p = (p >> 1) + gear[byte] from min_size on, reset for every chunk. Its value at a place is the floor of
-the sum of gear[byte j places back] / 2**j; 32 terms of that sum, by doubling, give p or p - 1 everywhere at once, so
-the few places where a cut is possible are found without a loop over bytes and then decided exactly.
+the sum of gear[byte j places back] / 2**j. 64 terms of that sum, by doubling and with 32 bits behind the point, give
+it at every place at once, so the places where a cut is possible are found without a loop over bytes. Where fewer
+bytes have come since the reset it is that or one less, which is decided exactly; so is the rare sum near a carry.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -16,13 +18,17 @@ from .scalars import AVG_SIZE, MAX_SIZE, MIN_SIZE, gear_table
 
 #: Bytes searched at a time: bounds memory, not chunks.
 SEGMENT = 1 << 20
-_TERMS = 32
+_TERMS = 64
+#: Bits behind the point of the sums, and terms after which what is left out is less than 1.
+_POINT, _CLOSE = 32, 32
+#: A sum whose fraction is below this is right: 64 shifts and the terms left out make less than the rest.
+_SURE = (1 << 32) - (1 << 8)
 
 
 @lru_cache(maxsize=1)
 def _gear() -> tuple[list[int], np.ndarray]:
     table = gear_table()
-    return table, np.array(table, np.uint64) << np.uint64(_TERMS)
+    return table, np.array(table, np.uint64) << np.uint64(_POINT)
 
 
 def backend_description() -> str:
@@ -41,43 +47,42 @@ def masks(avg: int) -> tuple[int, int]:
 
 
 class _Search:
-    """Places in data where p & loose may be 0, found by segments as they are asked for."""
+    """Places in data where p & loose may be 0, with their sums, found by segments as they are asked for."""
 
     def __init__(self, data: bytes, loose: int) -> None:
         self.data, self.loose, self.done = np.frombuffer(data, np.uint8), np.uint64(loose), {}
 
-    def segment(self, k: int) -> list[int]:
+    def segment(self, k: int) -> tuple[list[int], list[int]]:
         if k not in self.done:
             a = max(0, k * SEGMENT - _TERMS)
             s = _gear()[1][self.data[a : (k + 1) * SEGMENT]]
             step = 1
             while step < _TERMS:
-                back = np.zeros_like(s)
-                back[step:] = s[:-step] >> np.uint64(step)
-                s = s + back
+                more = s[:-step] >> np.uint64(step)
+                s = s.copy() if step == 1 else s
+                s[step:] += more
                 step *= 2
-            p = s >> np.uint64(_TERMS)
-            maybe = ((p & self.loose) == 0) | (((p + np.uint64(1)) & self.loose) == 0)
-            self.done = {k: (np.flatnonzero(maybe[k * SEGMENT - a :]) + k * SEGMENT).tolist()}
+            p = s >> np.uint64(_POINT)
+            at = np.flatnonzero(((p + np.uint64(1)) & self.loose) <= 2)  # p, one less or, by a carry, one more
+            at = at[at >= k * SEGMENT - a]
+            self.done = {k: ((at + a).tolist(), s[at].tolist())}
         return self.done[k]
 
     def between(self, start: int, stop: int):
-        from bisect import bisect_left
-
         k = start // SEGMENT
         while k * SEGMENT < stop:
-            places = self.segment(k)
+            places, sums = self.segment(k)
             for i in range(bisect_left(places, start), len(places)):
                 if places[i] >= stop:
                     return
-                yield places[i]
+                yield places[i], sums[i]
             k += 1
 
 
 def _exact(data: bytes, first: int, at: int) -> int:
     """p after the bytes from first to at: from 64 terms where the rest can't change the floor, else from all."""
     gear = _gear()[0]
-    if at - first >= 96:
+    if at - first >= _TERMS + _CLOSE:
         total = 0
         for j in range(64):
             total += gear[data[at - j]] << (63 - j)
@@ -101,16 +106,17 @@ def cuts(data: bytes, least: int = MIN_SIZE, avg: int = AVG_SIZE, most: int = MA
         size = min(most, n - start)
         length, first = size, start + least
         if size > least:
-            turn, end, p = start + min(center, size), start + size, 0
-            near = min(first + _TERMS, end)
+            turn, end, p, far = start + min(center, size), start + size, 0, first + _TERMS
+            near = min(first + _CLOSE, end)
             for i in range(first, near):  # windows of the search would reach back beyond the reset
                 p = (p >> 1) + gear[data[i]]
                 if not p & (strict if i < turn else loose):
                     length = i + 1 - start
                     break
             else:
-                for i in search.between(near, end):
-                    if not _exact(data, first, i) & (strict if i < turn else loose):
+                for i, total in search.between(near, end):
+                    p = total >> _POINT if i >= far and total & 0xFFFFFFFF < _SURE else _exact(data, first, i)
+                    if not p & (strict if i < turn else loose):
                         length = i + 1 - start
                         break
         out.append((start, length))
