@@ -2,50 +2,64 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.session import ship
+from ..sources import session
+from ..sources.session import mark, release, scratch_path, ship  # noqa: F401  scratch tables and their removal, for the operators
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text handled at a time in Python: bounds a worker's memory whatever the length of Spark's batches.
 SLICE_CHARS = 1_000_000
 #: Files of a scratch table whose rows are known, at least, and rows in one.
 FILES, ROWS_A_FILE = 24, 20_000
+#: Rows of a small table that is broadcast, at most, where they are known: of a few words each, some 100 MB.
+FEW = 1_000_000
+#: Row numbers, of 8 bytes each, that are broadcast at most.
+IDS = 4_000_000
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; set here only where it is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None) -> tuple[DataFrame, str]:
+def materialise(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and survives lost executors.
 
     rows: about how many there may be at most, where that is known; a small table then gets few files, not one for
     each shuffle partition. It only ever lowers their number.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(df.sparkSession, name)
     (df if rows is None else df.coalesce(max(FILES, rows // ROWS_A_FILE))).write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_scratch"] = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Remove a table that materialise() made and that nothing will read again."""
+    session.remove(df.sparkSession, df.__dict__["_scratch"])
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that nothing will read again."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def small(df: DataFrame, rows: int, few: int = FEW) -> DataFrame:
+    """df, to be broadcast in a join if it has few rows; beyond that Spark chooses by its size."""
+    return F.broadcast(df) if rows <= few else df
+
+
+def free(df: DataFrame, name: str) -> str:
+    """name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_rows(docs: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """docs with a number for each row, and whether it is the doc_id: so if none is null or repeated. Else the rows are
+    written with numbers of their own, which hold for several scans."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    once = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").isEmpty()
+    if once:
+        return docs.withColumn(name, F.col("doc_id").cast("long")), True
+    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), False
 
 
 def ascii_lower(text: Column) -> Column:
@@ -54,13 +68,14 @@ def ascii_lower(text: Column) -> Column:
 
 
 def prepare(spark: SparkSession) -> None:
-    """The package on the executors, and Arrow batches for rows that are whole texts: 10,000, the default, may be far too much at once."""
+    """The package on the executors."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the queries, whose session gets small Arrow batches: rows are whole texts. Operators set nothing."""
     prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,12 +2,15 @@
 shingle sets, and connected components by alternating large-star and small-star.
 
 Rows whose shingle sets are equal form a class and only its representative goes on, so exact copies cost one row a
-task however many there are. In each band's bucket the members are first tested against one star only: a number of
-pairs that is linear in the rows. Their links give components. Buckets whose members lie in several components are then searched
-in full, in tiles of a bounded number of rows: sketches are compared, and the most alike pairs of different components
-are confirmed on the texts. Where a row had more of them than it gave, its buckets are searched once more by exact
-counts on full sets, and a row gives one link to each other component: enough for the components, and linear in the
-rows. No pair is emitted for the members of one component.
+task however many there are. A class is found by a digest of hashes and then confirmed: rows with the representative's
+sequence of words (by SHA-256) have its set, and each other sequence is compared with it on full sets. In each band's
+bucket the members are first tested against one star only: a number of pairs that is linear in the rows. Their links
+give components. Buckets whose members lie in several components are then searched in full, in tiles of a bounded
+number of rows: sketches are compared, and the most alike pairs of different components are confirmed on the texts.
+Where a row had more of them than it gave, its buckets are searched once more by exact counts on full sets, and a row
+gives one link to each other component: enough for the components, and linear in the rows. No pair is emitted for the
+members of one component. What a join by bucket needs to know of a bucket is written first, so that Spark can split
+the rows of a hot bucket over tasks.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, drop, materialise, prepare, slices
+from .common import IDS, LOWER_TABLE, drop, free, mark, materialise, prepare, release, slices, small, with_rows
 
 BANDS, ROWS = 24, 4
 #: Bins of the sketch by which pairs are verified (one minimum a bin, one byte; 0 where a bin is empty). Its share of
@@ -50,35 +53,40 @@ def _coefficients(n: int):
     return r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (128-bit digest of the set), sig (minima, 32 bits each) of (doc_id, text)."""
+def signatures(rows: DataFrame, k: int, bits: int = 64) -> DataFrame:
+    """row, doc_id, n_shingles, d1, d2 (digest of the set's hashes), seq (SHA-256 of the words in order), sig (minima, 32 bits each) of (row, doc_id, text)."""
 
     def sign(batches: Iterator) -> Iterator:
+        import hashlib
+
         import numpy as np
         import pyarrow as pa
 
         a, b = _coefficients(BANDS * ROWS)
         hashes = Hashes(k)
-        for batch in slices(batches, 1):
-            sets = [hashes.of(t) for t in batch.column(1).to_pylist()]
-            d1, d2 = zip(*map(digest, sets))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([_minima(s, a, b) for s in sets], pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+        for batch in slices(batches, 2):
+            texts = batch.column(2).to_pylist()
+            words = [shingle_words(t) for t in texts]
+            sets = [hashes.of(w) for w in words]
+            d1, d2 = zip(*(digest(s, bits) for s in sets))
+            seq = [hashlib.sha256(b" ".join(w)).digest() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(seq, pa.binary()), pa.array([_minima(s, a, b) for s in sets], pa.binary())], ["row", "doc_id", "n_shingles", "d1", "d2", "seq", "sig"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(sign, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    return rows.select("row", "doc_id", "text").mapInArrow(sign, "row long, doc_id long, n_shingles long, d1 long, d2 long, seq binary, sig binary")
 
 
 class Hashes:
-    """of(text): the sorted 64-bit hashes of its distinct shingles. Words' hashes are kept, up to a bound."""
+    """of(words): the sorted 64-bit hashes of their distinct shingles. Words' hashes are kept, up to a bound."""
 
     def __init__(self, k: int) -> None:
         import xxhash
 
         self.k, self.digest, self.known = k, xxhash.xxh3_64_intdigest, {}
 
-    def of(self, text: str | None):
+    def of(self, words: list[bytes]):
         import numpy as np
 
-        words, known, digest = shingle_words(text), self.known, self.digest
+        known, digest = self.known, self.digest
         if len(known) > 200_000:
             known.clear()
         for w in words:
@@ -94,12 +102,13 @@ class Hashes:
         return np.unique(s)
 
 
-def digest(hashes) -> tuple[int, int]:
-    """128 bits of a set, as two signed numbers."""
+def digest(hashes, bits: int = 64) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers; fewer bits only to try out classes that are mixed."""
     import xxhash
 
     x = xxhash.xxh3_128(hashes.tobytes()).digest()
-    return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
+    d1, d2 = int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
+    return (d1, d2) if bits == 64 else (d1 & ((1 << bits) - 1), 0)
 
 
 def sketch(hashes) -> bytes:
@@ -146,18 +155,17 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     Each round is written to the shared folder; the loop ends when one changes nothing. The least neighbours are
     written too, so that a node with very many edges is a skewed join that AQE splits. rows: about how many edges.
     """
-    spark = edges.sparkSession
-    now, path = materialise(edges.selectExpr("greatest(a, b) u", "least(a, b) v").where("u != v").distinct(), "edges", rows=rows)
+    now = materialise(edges.selectExpr("greatest(a, b) u", "least(a, b) v").where("u != v").distinct(), "edges", rows=rows)
     mark = None
     while True:
         both = now.unionAll(now.selectExpr("v u", "u v"))
-        least, p = materialise(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m"), "least", rows=rows)
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m"), "least", rows=rows)
         large = both.where("v > u").join(least, "u").selectExpr("v u", "m v").where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        then, after = materialise(large.join(low, "u").where("v != m").selectExpr("v u", "m v").unionAll(low.selectExpr("u", "m v")).distinct(), "edges", rows=rows)
-        drop(spark, path)
-        drop(spark, p)
-        now, path = then, after
+        then = materialise(large.join(low, "u").where("v != m").selectExpr("v u", "m v").unionAll(low.selectExpr("u", "m v")).distinct(), "edges", rows=rows)
+        drop(now)
+        drop(least)
+        now = then
         seen = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == mark or not seen[0]:
             break
@@ -165,47 +173,65 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     return now.selectExpr("u node", "v component").unionAll(now.selectExpr("v node", "v component").distinct())
 
 
-def _bloom(ids: DataFrame, column: str, n: int):
-    """A Bloom filter of two look-ups; its size has an upper bound, beyond which it only lets more through."""
-    import numpy as np
+def _texts(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """row, text of the n rows in ids: the other texts stay where they are while so few numbers can be broadcast."""
+    return rows.select("row", "text").join(small(ids.select("row"), n, IDS), "row", "left_semi")
 
-    bits = 1 << min(24, max(16, (16 * max(1, n)).bit_length()))
-    places = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits)) for i in (0, 1)))).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
-    table = np.zeros(bits >> 6, np.int64)
-    for r in words.collect():  # at most 2**18 rows
-        table[r.w] = r.b
-    return table.view(np.uint64)
 
-
-def _candidate_texts(docs: DataFrame, reps: DataFrame, ids: DataFrame, n: int, k: int, once: bool) -> DataFrame:
-    """rep, text and fine (its sketch) of the n representatives in ids; a Bloom filter leaves the other texts where they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids, "least", n))
-    rows = docs.selectExpr("cast(doc_id as long) least", "cast(text as string) text").where("least is not null and text is not null")
-    size = len(shared.value) * 64
-    rows = rows.select("least", F.pmod(F.xxhash64("least", F.lit(0)), F.lit(size)).alias("p"), F.pmod(F.xxhash64("least", F.lit(1)), F.lit(size)).alias("q"), "text")
+def _sketched(texts: DataFrame, k: int) -> DataFrame:
+    """rep, text and fine, its sketch, of (row, text)."""
 
     def read(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        table, hashes = shared.value, Hashes(k)
+        hashes = Hashes(k)
+        for batch in slices(batches, 1):
+            fine = [sketch(hashes.of(shingle_words(t))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fine, pa.binary())], ["rep", "text", "fine"])
+
+    return texts.select("row", "text").mapInArrow(read, "rep long, text string, fine binary")
+
+
+def _other_sets(pairs: DataFrame, k: int) -> DataFrame:
+    """rep, row of those pairs (rep, row, text_a, text_b) whose texts' full sets differ."""
+
+    def check(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         for batch in slices(batches, 3):
-            there = np.ones(batch.num_rows, bool)
-            for c in (1, 2):
-                at = batch.column(c).to_numpy(zero_copy_only=False)
-                there &= (table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            batch = batch.filter(pa.array(there))
-            sets = [hashes.of(t) for t in batch.column(3).to_pylist()]
-            if sets:
-                d1, d2 = zip(*map(digest, sets))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), batch.column(3), pa.array([sketch(x) for x in sets], pa.binary())], ["least", "d1", "d2", "text", "fine"])
-
-    found = rows.mapInArrow(read, "least long, d1 long, d2 long, text string, fine binary")
-    if once:
-        return found.select(F.col("least").alias("rep"), "text", "fine")
-    # of a repeated doc_id the row with the class's own set
-    return found.join(reps.select("least", "d1", "d2", "rep"), ["least", "d1", "d2"]).dropDuplicates(["rep"]).select("rep", "text", "fine")
+            got = [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)) if shingle_set(x, k) != shingle_set(y, k)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*got) if got else [[], []])], ["rep", "row"])
+
+    return pairs.select("rep", "row", "text_a", "text_b").mapInArrow(check, "rep long, row long")
+
+
+def _classes(rows: DataFrame, signed: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """signed, and a row (d1, d2, rep, sig) of each class of equal sets, confirmed on full sets.
+
+    Rows with the words of the representative, in order, need no more; of each other sequence of words in a class one
+    row is compared with it. Sequences that only a digest had put there become classes of their own.
+    """
+
+    def grouped(signed: DataFrame) -> DataFrame:
+        return materialise(signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("row").alias("rep"), F.min_by("sig", "row").alias("sig"), F.min_by("seq", "row").alias("first_seq"), F.min("seq").alias("lo"), F.max("seq").alias("hi")), "reps")
+
+    reps = grouped(signed)
+    several = reps.where("lo != hi").select("d1", "d2", "rep", "first_seq")
+    if not several.isEmpty():
+        several = materialise(several, "several")
+        others = signed.join(several, ["d1", "d2"]).where("seq != first_seq").groupBy("rep", "d1", "d2", "seq").agg(F.min("row").alias("row"))
+        others = materialise(others, "others")
+        ids = materialise(others.select("row").unionAll(others.select(F.col("rep").alias("row"))).distinct(), "ids")
+        texts = materialise(_texts(rows, ids, ids.count()), "class-texts")
+        both = others.join(texts.withColumnRenamed("text", "text_b"), "row").join(texts.selectExpr("row rep", "text text_a"), "rep")
+        wrong = materialise(_other_sets(both, k).join(others, ["rep", "row"]).select("d1", "d2", "seq"), "wrong")
+        if not wrong.isEmpty():
+            own = [F.conv(F.hex(F.substring("seq", at, 7)), 16, 10).cast("long") for at in (1, 8)]
+            marked = signed.join(wrong.withColumn("own", F.lit(True)), ["d1", "d2", "seq"], "left")
+            d1, d2 = (F.when(F.col("own"), x).otherwise(F.col(d)) for d, x in zip(("d1", "d2"), own))
+            signed = materialise(marked.withColumns({"d1": d1, "d2": d2}).select(*signed.columns), "signed")
+            reps = grouped(signed)
+    return signed, reps.select("d1", "d2", "rep", "sig")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -235,7 +261,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return full.mapInArrow(check, "a long, b long")
 
 
-def _tiles(mixed: DataFrame, contents: DataFrame, compare) -> DataFrame:
+def _tiles(mixed: DataFrame, contents: DataFrame, n: int, compare) -> DataFrame:
     """Pairs (a, b) that compare(one, two) finds between rows of a bucket that aren't of its most frequent component.
 
     mixed: key, rep, component, major (of the bucket's most frequent component); contents: rep, data. Rows of other
@@ -243,6 +269,7 @@ def _tiles(mixed: DataFrame, contents: DataFrame, compare) -> DataFrame:
     a tile is (rep, component, data).
     """
     sizes = mixed.groupBy("key").agg(F.count_if(~F.col("major")).alias("o"), F.count_if("major").alias("m")).selectExpr("key", f"cast(ceil(o / {TILE}) as int) no", f"cast(ceil(m / {TILE}) as int) nm")
+    sizes = materialise(sizes, "sizes", rows=n)
     placed = mixed.join(sizes, "key").withColumn("t", F.expr("cast(pmod(xxhash64(rep, key), if(major, nm, no)) as int)"))
     # a pair of tiles is (i, j): other tiles i <= j, or other tile i and major tile -1 - j
     spread = F.expr("if(major, transform(sequence(0, no - 1), i -> named_struct('i', i, 'j', -1 - t)), concat(transform(sequence(0, no - 1), x -> named_struct('i', least(x, t), 'j', greatest(x, t))), transform(if(nm > 0, sequence(0, nm - 1), cast(array() as array<int>)), x -> named_struct('i', t, 'j', -1 - x))))")
@@ -337,38 +364,28 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
 
         hashes = Hashes(k)
         for b in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashes.of(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["rep", "data"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashes.of(shingle_words(t)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["rep", "data"])
 
     return texts.select("rep", "text").mapInArrow(read, "rep long, data binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of documents (doc_id, text): doc_id, n_shingles, component_id, kept.
-
-    Two rows are linked if 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles; component_id is the
-    smallest doc_id reachable, itself included. Null, empty and wordless texts have empty sets and are linked with
-    nothing. Rows with a null doc_id join the class of equal sets, but stand for none and link nothing else; without
-    a class their component is null and they are kept. Repeated rows are reported alike. Other columns are ignored;
-    an empty table gives no rows.
-    """
-    prepare(docs.sparkSession)
-    signed, _ = materialise(signatures(docs, k), "signed")
-    # a class is known by its smallest doc_id, or where doc_ids repeat by a number of its own
-    once = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
-    reps, _ = materialise(classes.withColumn("rep", F.col("least") if once else F.monotonically_increasing_id()), "reps")
+def _labelled(rows: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
+    """row, doc_id, n_shingles, seq and component (the least row reachable; null for an empty set) of (row, doc_id, text)."""
+    rows = rows.selectExpr("row", "cast(doc_id as long) doc_id", "cast(text as string) text")
+    since = mark(rows.sparkSession)
+    signed, reps = _classes(rows, materialise(signatures(rows, k, bits), "signed"), k)
     bands = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * 4 * ROWS + 1, F.lit(4 * ROWS))))).alias("key"))
-    stars = bands.groupBy("key").agg(F.min("rep").alias("star"), F.max("rep").alias("last")).where("star != last").select("key", "star")
-    held, _ = materialise(bands.join(stars, "key"), "buckets")
-    ids = reps.join(held.select("rep").distinct(), "rep", "left_semi")
+    stars = materialise(bands.groupBy("key").agg(F.min("rep").alias("star"), F.max("rep").alias("last")).where("star != last").select("key", "star"), "stars")
+    held = materialise(bands.join(stars, "key"), "buckets")
+    ids = materialise(held.select(F.col("rep").alias("row")).distinct(), "ids")
     n = ids.count()  # candidates; the tables below have about as many rows, or a small multiple
-    texts, _ = materialise(_candidate_texts(docs, reps, ids, n, k, once), "texts")
+    texts = materialise(_sketched(_texts(rows, ids, n), k), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return materialise(_confirm(pairs, texts, k, percent), "links", rows=n)[0]
+        return materialise(_confirm(pairs, texts, k, percent), "links", rows=n)
 
     links = verified(held.where("rep != star").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct())
-    joined, _ = materialise(components(links, n), "components", rows=n)
+    joined = materialise(components(links, n), "components", rows=n)
     more = None
     for exact in (False, True):
         labelled = held.join(joined, held.rep == joined.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
@@ -376,30 +393,62 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         several = counts.where("kinds > 1 and rows > 2").selectExpr("key", "top.component most")  # a bucket of two was tested as star and member
         if exact:
             several = several.join(held.join(more, "rep", "left_semi").select("key"), "key", "left_semi")
-        mixed, _ = materialise(labelled.join(several, "key").select("key", "rep", "component", F.expr("component = most").alias("major")), "mixed", rows=4 * n)
+        several = materialise(several, "several", rows=n)
+        mixed = materialise(labelled.join(several, "key").select("key", "rep", "component", F.expr("component = most").alias("major")), "mixed", rows=4 * n)
         if exact:
-            contents, _ = materialise(_sets(texts.join(mixed.select("rep").distinct(), "rep", "left_semi"), k), "sets", rows=n)
-            pairs, _ = materialise(_tiles(mixed, contents, _by_sets(percent)), "pairs", rows=n)
+            contents = materialise(_sets(texts.join(mixed.select("rep").distinct(), "rep", "left_semi"), k), "sets", rows=n)
+            pairs = materialise(_tiles(mixed, contents, n, _by_sets(percent)), "pairs", rows=n)
         else:
-            pairs, _ = materialise(_tiles(mixed, texts.select("rep", F.col("fine").alias("data")), _by_sketch(percent)), "pairs", rows=n)
+            pairs = materialise(_tiles(mixed, texts.select("rep", F.col("fine").alias("data")), n, _by_sketch(percent)), "pairs", rows=n)
         found = verified(pairs.where("b is not null"))
         if not found.isEmpty():
             links = links.unionAll(found)
-            joined, _ = materialise(components(links, n), "components", rows=n)
+            joined = materialise(components(links, n), "components", rows=n)
         more = pairs.where("b is null").selectExpr("a rep")
         if more.isEmpty():
             break
-    label = F.coalesce("component", "rep")
-    if not once:
-        least = reps.join(joined, F.col("rep") == F.col("node"), "left").groupBy(label.alias("component")).agg(F.min("least").alias("smallest"))
-        joined = reps.join(joined, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("node"), label.alias("component")).join(least, "component").select("node", F.col("smallest").alias("component"))
-    classes, _ = materialise(reps.select("d1", "d2", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("d1", "d2", label.alias("component_id")), "classes")
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
-    component = F.coalesce("component_id", "doc_id")
+    classes = materialise(reps.join(joined, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component")), "classes")
+    release(rows.sparkSession, since, [signed, classes])
+    sets = signed.where("n_shingles > 0").join(classes, ["d1", "d2"]).select("row", "doc_id", "n_shingles", "seq", "component")
+    return sets.unionAll(signed.where("n_shingles = 0").select("row", "doc_id", "n_shingles", "seq", F.lit(None).cast("long")))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 64) -> DataFrame:
+    """One row per row of documents (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Two rows are linked if 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles; component_id is the
+    smallest doc_id reachable, itself included. Null, empty and wordless texts have empty sets and are linked with
+    nothing. Rows with a null doc_id link as others do; a component of nothing else has a null component_id and is
+    kept. Rows that repeat a doc_id are rows of their own, each kept if that is the component's. Other columns are
+    ignored; an empty table gives no rows.
+    """
+    prepare(docs.sparkSession)
+    rows, once = with_rows(docs.select("doc_id", "text"), "row")
+    out = _labelled(rows, k, percent, bits)
+    if once:
+        component = F.coalesce("component", "doc_id")
+    else:
+        least = materialise(out.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+        out = out.join(least, "component", "left")
+        component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of documents that stay, with all their columns: one per group of near duplicates. Rows of one doc_id stay or go together."""
-    kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of documents that stay, with all their columns: one per group of near duplicates.
+
+    It is the row with the smallest doc_id; a null one counts as larger than any, and of rows that share it the one
+    whose words have the least SHA-256 stays, then any. Rows with empty sets stay all. The rows that go are joined by
+    their numbers: texts are shuffled only where there are too many of these to be broadcast.
+    """
+    prepare(docs.sparkSession)
+    row, out = free(docs, "row"), free(docs, "gone")
+    rows, once = with_rows(docs, row)
+    labelled = materialise(_labelled(rows.select(F.col(row).alias("row"), "doc_id", "text"), k, percent, 64).where("component is not null").select("row", "doc_id", "seq", "component"), "labelled")
+    if once:
+        gone = labelled.where("row != component").select("row")
+    else:
+        first = materialise(labelled.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "seq", "row")).alias("m")).select("component", F.col("m.row").alias("stays")), "stays")
+        gone = labelled.join(first, "component").where("row != stays").select("row")
+    gone = materialise(gone.withColumnRenamed("row", out), "gone")
+    return rows.join(small(gone, gone.count(), IDS), F.col(row) == F.col(out), "left_anti").drop(row)

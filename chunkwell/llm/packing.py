@@ -61,7 +61,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, window:
 
     spark = docs.sparkSession
     prepare(spark)
-    ids, _ = materialise(token_table(docs, tokenizer or default_tokenizer(), end_id), "pack-ids")
+    ids = materialise(token_table(docs, tokenizer or default_tokenizer(), end_id), "pack-ids")
     totals = sorted((r.part, r.n) for r in ids.groupBy("part").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect())  # a row for each partition
     parts = np.array([p for p, _ in totals], np.int64)
     sums = np.cumsum([0] + [n for _, n in totals])
