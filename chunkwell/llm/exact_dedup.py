@@ -1,29 +1,28 @@
 """Exact deduplication by deterministic block naming (Karp, Miller and Rosenberg), in DataFrame operations only.
 
-A text's UTF-8 is cut into blocks of a fixed size. A block's integer name is (bucket, rank): its 64-bit bucket, and
-its rank among the different blocks of that bucket in sorted order. Adjacent names are paired and the pairs are named
-the same way, level by level, until one name is left; with the length it is the text's identity. Two texts get one
-identity exactly when they are equal: every level compares the blocks (or pairs) of each bucket themselves, and where
-a bucket holds different ones it sorts them into ranks. Almost every bucket holds one, so names stay in the row and
-only buckets found mixed cost a join. Minimum and maximum of a bucket are combined before the shuffle, so a block
-that a third of all rows share costs a row a task.
+A text's UTF-8 is cut into blocks of a fixed size. The distinct blocks are sorted and numbered: a block's integer name.
+Adjacent names are paired, the distinct pairs are sorted and numbered the same way, level by level, until one name is
+left; with the length it is the text's identity. Texts of one length have the same levels, so two of them get one
+identity exactly when they are equal.
+
+Blocks are dealt out by their bytes and sorted within each part; a name holds the part's number and the place in it.
+The bytes are shuffled once, after equal ones were combined where they are read, so a block that a third of all rows
+share costs a row a task. Names find their blocks by a 64-bit hash: hashes that several blocks share are looked for,
+and those blocks are joined by their bytes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StructType
 
-from .common import ascii_lower, materialise
+from .common import ascii_lower, drop, free, mark, materialise, release, small
 
 #: Bytes in a block.
-BLOCK = 4096
-IDENTITY = ["n_bytes", "name", "rank"]
-
-
-def _bucket(*parts: Column, bits: int) -> Column:
-    h = F.xxhash64(*parts)
-    return h if bits == 64 else h.bitwiseAND(F.lit((1 << bits) - 1))
+BLOCK = 1024
+IDENTITY = ["n_bytes", "name"]
+_NUMBER = F.monotonically_increasing_id
 
 
 def _blocks(data: Column, block: int) -> Column:
@@ -31,69 +30,73 @@ def _blocks(data: Column, block: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: data.substr(i * block + 1, F.lit(block)))
 
 
+def _hash(block: Column, bits: int) -> Column:
+    h = F.xxhash64(block)
+    return h if bits == 64 else h.bitwiseAND(F.lit((1 << bits) - 1))
+
+
 def _pairs(names: Column) -> Column:
     """Adjacent names as structs a, b; an odd one at the end has no b."""
     half = F.floor((F.size(names) + 1) / 2).cast("int")
     return F.transform(F.sequence(F.lit(0), half - 1), lambda i: F.struct(F.get(names, 2 * i).alias("a"), F.get(names, 2 * i + 1).alias("b")))
 
 
-def _named(pairs: Column, bits: int) -> Column:
-    """Names of pairs while no bucket is mixed; a name without a partner stays."""
-    return F.transform(pairs, lambda p: F.when(p["b"].isNull(), p["a"]).otherwise(F.struct(_bucket(p["a"]["h"], p["a"]["r"], p["b"]["h"], p["b"]["r"], bits=bits).alias("h"), F.lit(0).alias("r"))))
+def _normal(text: str) -> Column:
+    return ascii_lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary")
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Buckets (level, h) in which values differ."""
-    return rows.groupBy("level", "h").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo != hi").select("level", "h")
-
-
-def _ranks(rows: DataFrame, mixed: DataFrame) -> DataFrame:
-    """address, pos, r of the names that aren't the first of a mixed bucket."""
-    held = rows.join(mixed.select("h"), "h", "left_semi")
-    rank = held.select("h", "v").distinct().withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("v")) - 1).where("r > 0")
-    fixed = held.join(rank, ["h", "v"]).select("address", "pos", "r").distinct()
-    return fixed.groupBy("address").agg(F.map_from_entries(F.collect_list(F.struct("pos", "r"))).alias("fixed"))  # at most a row's own blocks
-
-
-def _refine(named: DataFrame, ranks: DataFrame) -> DataFrame:
-    own = F.transform("names", lambda x, i: F.struct(x["h"].alias("h"), F.coalesce(F.get(F.map_values(F.map_filter("fixed", lambda k, _: k == i)), F.lit(0)), x["r"]).alias("r")))
-    return named.join(ranks, named.text_sha256 == ranks.address, "left").withColumn("names", F.when(F.col("fixed").isNull(), F.col("names")).otherwise(own)).drop("address", "fixed")
+def _collected(rows: DataFrame) -> DataFrame:
+    """row and its names in order, of (row, pos, name): a row's own blocks."""
+    lists = rows.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("l"))
+    return lists.select("row", F.transform("l", lambda x: x["name"]).alias("names"))
 
 
 def name_documents(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> DataFrame:
-    """doc_id, text_sha256 and the identity (n_bytes, name, rank) of every row's ASCII-lower-cased text.
+    """doc_id, text_sha256 and the identity (n_bytes, name) of every row's ASCII-lower-cased text.
 
     A null text counts as empty; an empty text is one empty block. Null doc_ids and repeated rows stay rows of
-    their own. Other columns are ignored. bits: of a bucket; fewer than 64 only to try out mixed buckets.
+    their own. Other columns are ignored. bits: of a block's hash; fewer than 64 only to try out shared ones.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary").alias("data"))
-    names = F.transform(_blocks(F.col("data"), block), lambda b: F.struct(_bucket(b, bits=bits).alias("h"), F.lit(0).alias("r")))
-    named, _ = materialise(src.select("doc_id", F.sha2("data", 256).alias("text_sha256"), F.length("data").cast("long").alias("n_bytes"), names.alias("names")), "named")
-
-    blocks = src.select(F.sha2("data", 256).alias("address"), F.posexplode(_blocks(F.col("data"), block)).alias("pos", "v")).withColumn("h", _bucket(F.col("v"), bits=bits)).withColumn("level", F.lit(0))
-    mixed = _mixed(src.select(F.explode(_blocks(F.col("data"), block)).alias("v")).select(F.lit(0).alias("level"), _bucket(F.col("v"), bits=bits).alias("h"), "v"))
-    if mixed.agg(F.count("*")).first()[0]:
-        mixed, _ = materialise(mixed, "mixed")
-        named, _ = materialise(_refine(named, _ranks(blocks, mixed)), "named")
-
-    top = named.agg(F.max(F.size("names"))).first()[0] or 1
-    levels, done = max(0, (top - 1).bit_length()), 0
-    while done < levels:  # once, unless a bucket is mixed
-        rows = named
-        for k in range(levels - done):
-            rows = rows.withColumn(f"p{k}", _pairs(F.col(f"n{k - 1}" if k else "names"))).withColumn(f"n{k}", _named(F.col(f"p{k}"), bits))
-        each = F.concat(*(F.transform(F.filter(f"p{k}", lambda p: p["b"].isNotNull()), lambda p: F.struct(F.lit(done + k + 1).alias("level"), p.alias("v"))) for k in range(levels - done)))
-        flat = rows.select(F.explode(each).alias("e")).select("e.level", "e.v")
-        first = _mixed(flat.withColumn("h", _bucket(F.col("v.a.h"), F.col("v.a.r"), F.col("v.b.h"), F.col("v.b.r"), bits=bits))).agg(F.min("level")).first()[0]
-        good = levels - done if first is None else first - done
-        named = rows.select("doc_id", "text_sha256", "n_bytes", F.col(f"n{good - 1}").alias("names"), *([F.col(f"p{good - 1}").alias("pairs")] if first else []))
-        if first:
-            named, _ = materialise(named, "named")
-            some = named.select(F.col("text_sha256").alias("address"), F.posexplode("pairs").alias("pos", "v")).where("v.b is not null")
-            some = some.withColumn("h", _bucket(F.col("v.a.h"), F.col("v.a.r"), F.col("v.b.h"), F.col("v.b.r"), bits=bits)).withColumn("level", F.lit(first))
-            named, _ = materialise(_refine(named.drop("pairs"), _ranks(some, _mixed(some))), "named")
-        done = done + good
-    return named.select("doc_id", "text_sha256", "n_bytes", F.col("names")[0]["h"].alias("name"), F.col("names")[0]["r"].alias("rank"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _normal("text").alias("data")).withColumn("row", _NUMBER())
+    every = src.select(F.explode(_blocks(F.col("data"), block)).alias("v"))
+    names = materialise(every.distinct().sortWithinPartitions("v").select(_hash(F.col("v"), bits).alias("h"), _NUMBER().alias("name")), "names")
+    shared = materialise(names.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
+    mixed = not shared.isEmpty()
+    if mixed:
+        src = materialise(src, "rows")  # row numbers that hold for several scans
+    hashes = F.transform(_blocks(F.col("data"), block), lambda b: _hash(b, bits))
+    named = materialise(src.select("row", "doc_id", F.sha2("data", 256).alias("text_sha256"), F.length("data").cast("long").alias("n_bytes"), hashes.alias("h")), "named")
+    places = named.select("row", F.posexplode("h").alias("pos", "h"))
+    found = places.join(names, "h").select("row", "pos", "name")
+    if mixed:
+        found = places.join(names.join(shared, "h", "left_anti"), "h").select("row", "pos", "name")
+        held = src.select("row", F.posexplode(_blocks(F.col("data"), block)).alias("pos", "v")).withColumn("h", _hash(F.col("v"), bits)).join(shared, "h", "left_semi")
+        own = materialise(held.select("v").distinct().sortWithinPartitions("v").select("v", (-1 - _NUMBER()).alias("name")), "own")
+        found = found.unionAll(held.join(own, "v").select("row", "pos", "name"))
+    now, done = materialise(_collected(found), "level-0"), []
+    while True:
+        done.append(now.where("size(names) = 1").select("row", F.col("names")[0].alias("name")))
+        now = now.where("size(names) > 1")
+        if now.isEmpty():
+            break
+        pairs = materialise(now.select("row", F.posexplode(_pairs(F.col("names"))).alias("pos", "p")).select("row", "pos", "p.a", "p.b"), "pairs")
+        names = materialise(pairs.where("b is not null").select("a", "b").distinct().sortWithinPartitions("a", "b").select("a", "b", _NUMBER().alias("name")), "names")
+        both = pairs.where("b is not null").join(names, ["a", "b"]).select("row", "pos", "name")
+        now = materialise(_collected(both.unionAll(pairs.where("b is null").select("row", "pos", "a"))), f"level-{len(done)}")
+        drop(pairs)
+        drop(names)
+    last = done[0]
+    for d in done[1:]:
+        last = last.unionAll(d)
+    return named.drop("h").join(last, "row").select("doc_id", "text_sha256", "n_bytes", "name")
+
+
+def _identified(docs: DataFrame, block: int, bits: int = 64) -> DataFrame:
+    """name_documents() as a table; what it was made of is removed."""
+    since = mark(docs.sparkSession)
+    out = materialise(name_documents(docs, block, bits), "identities")
+    release(docs.sparkSession, since, [out])
+    return out
 
 
 def duplicates(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> DataFrame:
@@ -103,8 +106,8 @@ def duplicates(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> DataFrame
     largest doc_id stays; null doc_ids stay only in groups without others. Rows that repeat doc_id and text are
     all reported alike. An empty table gives no rows.
     """
-    named = name_documents(docs, block, bits)
-    groups, _ = materialise(named.groupBy(*IDENTITY).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
+    named = _identified(docs, block, bits)
+    groups = materialise(named.groupBy(*IDENTITY).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
     both = named.join(groups, IDENTITY, "left")
     single = F.col("group_size").isNull()
     keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
@@ -112,8 +115,28 @@ def duplicates(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> DataFrame
 
 
 def keep_distinct(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of documents that stay, with all their columns: one per text, also where doc_ids or rows repeat."""
-    kept = duplicates(docs, block).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    marked = docs.withColumn("_text_sha", F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"), 256))
-    joined = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_kept_id"]) & (marked["_text_sha"] == kept["_kept_sha"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_text_sha"]).drop("_text_sha")
+    """The rows of documents that stay, with all their columns: one per text, also where doc_ids or rows repeat.
+
+    As in duplicates(); of rows that share the largest doc_id and the text the one whose columns are greatest stays,
+    compared from left to right (any one, if a column is a map). Only groups of several rows are joined, a row for
+    each; texts are shuffled only where there are too many groups to be broadcast.
+    """
+    named = _identified(docs, block)
+    each = named.groupBy(*IDENTITY, "doc_id").agg(F.count("*").alias("n"), F.min("text_sha256").alias("sha"))
+    groups = each.groupBy(*IDENTITY).agg(F.max(F.struct("doc_id", "n")).alias("k"), F.sum("n").alias("size"), F.min("sha").alias("sha")).where("size > 1")
+    sha, keep = free(docs, "text_sha"), free(docs, "keep")
+    groups = materialise(groups.select(F.col("sha").alias(sha), F.struct("k.doc_id", "k.n").alias(keep)), "groups")
+    n, repeats = groups.count(), groups.where(f"{keep}.n > 1").select(sha)
+    marked = docs.withColumn(sha, F.sha2(_normal("text"), 256)).join(small(groups, n), sha, "left")
+    kept = marked.where(F.col(keep).isNull() | F.col("doc_id").cast("long").eqNullSafe(F.col(f"{keep}.doc_id")))
+    if repeats.isEmpty():
+        return kept.select(docs.columns)
+    several = kept.where(F.col(f"{keep}.n") > 1)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = several.groupBy(sha).agg((F.max(whole) if _ordered(docs.schema) else F.first(whole)).alias(keep)).select(f"{keep}.*")
+    return kept.where(F.col(keep).isNull() | (F.col(f"{keep}.n") == 1)).select(docs.columns).unionAll(one)
+
+
+def _ordered(schema: StructType) -> bool:
+    """Whether rows can be compared: no column is or holds a map or a variant."""
+    return not any(isinstance(f.dataType, MapType) or "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() for f in schema.fields)
