@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, prepare, slices, words_of
+from .common import IDS, free, materialise, prepare, slices, small, with_rows, words_of
 
 WINDOW, SHINGLE = 13, 3
 #: Words of a benchmark that is broadcast: some 100 MB in a Python worker.
@@ -215,57 +215,194 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     return docs.mapInArrow(join, RESULT)
 
 
-def _words(text: str) -> Column:
-    other = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    return F.filter(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), other), lambda w: w != "")
+class _Keys:
+    """of(words, size): a 64-bit key of each shingle. Words' hashes are kept, up to a bound."""
 
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
 
-def _shingled(words: Column, size: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
+    def of(self, words: list[bytes], size: int):
+        import numpy as np
+        import xxhash
+
+        if len(self.known) > 200_000:
+            self.known.clear()
+        known = self.known
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        n = max(0, len(h) - size + 1)
+        key, prime = np.full(n, size, np.uint64), np.uint64(0x9E3779B97F4A7C15)
+        for j in range(size):
+            key = (key ^ h[j : j + n]) * prime
+            key ^= key >> np.uint64(29)
+        return key.view(np.int64)
 
 
-def contamination_joined(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """contamination() for a benchmark of any size: shingles, prefixes and candidates are shuffled by shingle."""
-    return _joined(docs.select("doc_id", _words("text").alias("words")), benchmark, window).select([x.split()[0] for x in RESULT.split(", ")])
+def _held(table, keys):
+    """Which keys a Bloom filter has: one look-up by the lower bits, one by the upper."""
+    import numpy as np
 
+    bits, k = len(table) * 64, keys.view(np.uint64)
+    there = np.ones(len(k), bool)
+    for at in (k % np.uint64(bits), (k >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(bits)):
+        there &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return there
 
-def _joined(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """The rows of docs, which have a column words, with the figures of RESULT; each row is judged by itself, by a number of its own."""
-    spark = docs.sparkSession
-    rows, _ = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "words")
-    items = benchmark.select("item_id", _words("text").alias("words")).where("size(words) > 0").withColumn("long", F.least(F.size("words"), F.lit(window)))
-    windows = items.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("long") + 1), lambda i: F.slice("words", i, F.col("long")))).alias("window"))
-    windows, _ = materialise(windows.groupBy("window").agg(F.collect_set("item_id").alias("items")).withColumn("k", F.least(F.size("window"), F.lit(SHINGLE))), "windows")
-    parts, _ = materialise(windows.select("window", "k", F.posexplode(_shingled(F.col("window"), F.col("k"))).alias("offset", "shingle")), "parts")
-    sizes = [r.k for r in windows.select("k").distinct().collect()]
-    places = None
-    for k in sizes:
-        one = rows.where(F.size("words") >= k).select("row", F.posexplode(_shingled(F.col("words"), F.lit(k))).alias("at", "shingle"), F.lit(k).alias("k"))
-        places = one if places is None else places.unionAll(one)
-    none = F.sha2(F.lit(""), 256)
-    if places is None:
-        hits = spark.createDataFrame([], "row long, n_hit long, n_items long, items_sha256 string")
-    else:
-        places, _ = materialise(places.join(parts.select("shingle", "k").distinct(), ["shingle", "k"], "left_semi"), "places")
-        rarity = places.groupBy("shingle", "k").agg(F.count("*").alias("n"))
-        ranked = parts.join(rarity, ["shingle", "k"], "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "shingle", "k")).alias("p")).where("p.n > 0").select("window", "p.*")
-        near = places.join(ranked.select("window", "shingle", "k", "offset"), ["shingle", "k"]).withColumn("start", F.col("at") - F.col("offset")).where("start >= 0").select("row", "start", "window")
-        sure, _ = materialise(near.join(rows.select("row", "words"), "row").where(F.slice("words", F.col("start") + 1, F.size("window")) == F.col("window")).select("row", "start", "window"), "sure")
-        n_hit = sure.select("row", F.explode(F.sequence("start", F.col("start") + F.size("window") - 1)).alias("w")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-        names = sure.select("row", "window").distinct().join(windows, "window").select("row", F.explode(F.col("items").cast("array<string>")).alias("item")).distinct().groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
-        hits = n_hit.join(names, "row")
-    n_words, hit = F.size("words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long")
-    figures = {"n_words": n_words, "n_hit": hit, "n_items": F.coalesce("n_items", F.lit(0)).cast("long"), "items_sha256": F.coalesce("items_sha256", none), "contaminated": (hit > 0) & (PART * hit >= n_words)}
-    return rows.join(hits, "row", "left").select(*docs.drop("words").columns, *(c.alias(k) for k, c in figures.items()))
+
+def _bloom(keys: DataFrame, most: int = 1 << 27):
+    """A Bloom filter of a column key as 64-bit words, 16 bits a key and `most` at most: beyond that it lets more
+    through to the join, which decides. What reaches the driver is the filter."""
+    import numpy as np
+
+    n = keys.count()
+    bits = min(most, 1 << max(16, (16 * max(1, n)).bit_length()))
+
+    def fold(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        words: dict[int, int] = {}
+        for b in batches:
+            k = b.column(0).to_numpy().view(np.uint64)
+            for at in (k % np.uint64(bits), (k >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(bits)):
+                for w, bit in zip((at >> np.uint64(6)).tolist(), (at & np.uint64(63)).tolist()):
+                    words[w] = words.get(w, 0) | 1 << bit
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.int64()), pa.array(np.array(list(words.values()), np.uint64).view(np.int64))], ["w", "b"])
+
+    found = keys.select("key").mapInArrow(fold, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(bits >> 6, np.uint64)
+    table[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return table
+
+
+def _item_windows(items: DataFrame, window: int) -> DataFrame:
+    """item_id, window (its words with spaces) and n of every window."""
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in slices(batches, 1):
+            out = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = words_of(text)
+                n = min(window, len(w))
+                out += [(item, b" ".join(w[i : i + n]).decode("utf-8", "surrogatepass"), n) for i in range(len(w) - n + 1 if w else 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.string(), pa.int32()))], ["item_id", "window", "n"])
+
+    return items.select("item_id", "text").mapInArrow(cut, "item_id long, window string, n int").distinct()
+
+
+def _parts(windows: DataFrame) -> DataFrame:
+    """window, n, size, offset, key of each shingle of windows (window, n); size is its number of words."""
+
+    def cut(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        keys = _Keys()
+        for b in batches:
+            for window, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                size = min(SHINGLE, n)
+                k = keys.of(window.encode("utf-8", "surrogatepass").split(b" "), size)
+                yield pa.RecordBatch.from_arrays([pa.array([window] * len(k), pa.string()), pa.array([n] * len(k), pa.int32()), pa.array([size] * len(k), pa.int32()), pa.array(np.arange(len(k), dtype=np.int32)), pa.array(k)], ["window", "n", "size", "offset", "key"])
+
+    return windows.select("window", "n").mapInArrow(cut, "window string, n int, size int, offset int, key long")
+
+
+def _joined(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """row, n_words, n_hit, n_items, items_sha256 of (row, text), for a benchmark of any size: joined by shingle.
+
+    Bloom filters of the benchmark's shingles, and then of the windows' prefixes, keep other shingles in the scan. A
+    place of a prefix goes on with the words around it, so a window is compared word by word without its document.
+    """
+    spark, empty = rows.sparkSession, F.sha2(F.lit(""), 256)
+    held = materialise(_item_windows(items, window), "item-windows")
+    windows = held.select("window", "n").distinct()
+    parts = materialise(_parts(windows), "parts")
+    sizes = sorted(r["size"] for r in parts.select("size").distinct().collect())  # at most SHINGLE
+    texts = rows.select("row", F.col("text").cast("string").alias("text"))
+    shared = spark.sparkContext.broadcast(_bloom(parts.select("key").distinct()))
+
+    def count(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        keys = _Keys()
+        for b in slices(batches, 1):
+            found = [k[_held(shared.value, k)] for t in b.column(1).to_pylist() if (w := words_of(t)) for k in (keys.of(w, size) for size in sizes)]
+            k, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    rarity = materialise(texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("rarity")), "rarity")
+    ranked = parts.join(rarity, "key", "left").groupBy("window", "n").agg(F.min(F.struct(F.coalesce("rarity", F.lit(0)).alias("rarity"), "offset", "size", "key")).alias("p"))
+    prefixes = materialise(ranked.where("p.rarity > 0").select("window", "n", "p.offset", "p.size", "p.key"), "prefixes")
+    second = spark.sparkContext.broadcast(_bloom(prefixes.select("key").distinct()))
+
+    def places(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        keys, names = _Keys(), ["row", "key", "at", "back", "around"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+        for b in slices(batches, 1):
+            out = []
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = words_of(text)
+                for size in sizes:
+                    k = keys.of(w, size)
+                    for at in np.flatnonzero(_held(second.value, k)).tolist():
+                        low = max(0, at - window + 1)
+                        out.append((row, int(k[at]), at, at - low, b" ".join(w[low : at + window]).decode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], names)
+
+    near = texts.mapInArrow(places, "row long, key long, at long, back int, around string").join(prefixes, "key").where("back >= offset")
+    words = F.slice(F.split("around", " "), F.col("back") - F.col("offset") + 1, F.col("n"))
+    sure = near.where(F.array_join(words, " ") == F.col("window")).select("row", (F.col("at") - F.col("offset")).alias("start"), "n", "window")
+    sure = materialise(sure.distinct(), "sure")
+    n_hit = sure.select("row", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("w")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    found = sure.select("row", "window").distinct().join(held.select("window", "item_id"), "window").select("row", F.col("item_id").cast("string").alias("item")).distinct()
+    names = found.groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    hits = materialise(n_hit.join(names, "row"), "hits")
+
+    def size(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(words_of(t)) for t in b.column(1).to_pylist()], pa.int64())], ["row", "n_words"])
+
+    every = texts.mapInArrow(size, "row long, n_words long").join(hits, "row", "left")
+    return every.select("row", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", empty).alias("items_sha256"), _judged())
+
+
+def _judged() -> Column:
+    hit = F.coalesce("n_hit", F.lit(0))
+    return ((hit > 0) & (PART * hit >= F.col("n_words"))).alias("contaminated")
+
+
+def contamination_joined(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """contamination() for a benchmark of any size."""
+    rows, once = with_rows(docs.select("doc_id", "text"), "row")
+    out = _joined(rows, benchmark, window)
+    out = out.withColumn("doc_id", F.col("row")) if once else out.join(rows.select("row", F.col("doc_id").cast("long").alias("doc_id")), "row")
+    return out.select([x.split()[0] for x in RESULT.split(", ")])
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
-    """The rows of documents, with all their columns, that aren't contaminated; judged where they are read."""
+    """The rows of documents, with all their columns, that contamination() doesn't call contaminated.
+
+    Each row is judged by itself, also where doc_ids are null or repeated; null and empty texts stay; an empty table
+    of documents or benchmark items removes nothing. A row is judged where it is read. For a benchmark of more than
+    max_words, rows are judged by the join, and the contaminated ones are taken out by their numbers.
+    """
     prepare(docs.sparkSession)
     chosen, at = _indexed(docs, _items(benchmark), window, max_words), docs.columns.index("text")
     if chosen is None:
-        whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), _words("text").alias("words"))
-        return _joined(whole, _items(benchmark), window).where("not contaminated").select("doc.*")
+        row, gone = free(docs, "row"), free(docs, "gone")
+        rows, _ = with_rows(docs, row)
+        bad = materialise(_joined(rows.select(F.col(row).alias("row"), "text"), _items(benchmark), window).where("contaminated").select(F.col("row").alias(gone)), "contaminated")
+        return rows.join(small(bad, bad.count(), IDS), F.col(row) == F.col(gone), "left_anti").drop(row)
 
     def keep(batches: Iterator) -> Iterator:
         import pyarrow as pa
