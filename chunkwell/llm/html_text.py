@@ -1,9 +1,10 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped to one line a block; lines of menus, headers, footers, sidebars, notices, adverts, forms, comments
-and the like count no text. Text lengths are summed over a sliding window of lines; where the sum surges a stretch of
-main text begins, where it dives to nothing it ends, and the lines between are kept. All lines of a page are judged
-so; inside a marked article links weigh too and any text is a surge.
+and the like count no text, and text in links counts against a line. Text lengths are summed over a sliding window of
+lines. The sums dive to nothing where no text comes for a while: that cuts a page into stretches. A stretch in which
+the sums surge is main text, from the dive before it to the dive after it, so its short first and last lines stay. The
+same rule reads every page; being in an article or main element only takes a link's text at its own weight.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import DataFrame
 
 from .common import prepare, slices
 
-#: Lines in a window; a surge is a window with so many code points more than its links have.
-WINDOW, SURGE = 3, 86
+#: Lines in a window; a surge is a window with so much weight; a dive is so many lines without any.
+WINDOW, SURGE, DIVE = 3, 86, 12
+#: What a code point of a link takes from its line's weight: outside of an article, and in one.
+LINK, LINK_INSIDE = 2, 0
 # Elements that begin and end a line, hold no main text, or have no content.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SKIP = set("aside button canvas dialog fieldset footer form head iframe input label map menu nav noscript object option select svg template textarea title audio video".split())
@@ -26,8 +29,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 MARKS = set("ad ads advert advertisement advertising adsbygoogle banner breadcrumb breadcrumbs byline-ad comment comments commentlist consent cookie cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pagination pager popup promo promoted promotion recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 _OPEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|</?([a-zA-Z][^\s/>]*)")
-_CLOSED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
-_QUOTE = re.compile(r"=\s*([\"'])")
+_REST = re.compile(r"(?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+")
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 
@@ -64,12 +66,10 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
             continue
         if m.end() > last:
             return
-        end = page.find(">", m.end())
+        end = _REST.match(page, m.end()).end()  # a value that isn't closed ends with the tag, at the next >
+        if end == len(page):
+            return
         attrs = page[m.end() : end]
-        for _ in range(8):  # a value that isn't closed goes on to its quote
-            if not (q := _QUOTE.search(_CLOSED.sub("", attrs))) or (z := page.find(q[1], end)) < 0 or (e := page.find(">", z)) < 0:
-                break
-            end, attrs = e, page[m.end() : e]
         at = end + 1
         yield start, at, (name or "").lower(), page[start + 1] == "/", attrs
 
@@ -135,33 +135,38 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
+def stretches(weight: list[int]) -> list[tuple[int, int, int, bool]]:
+    """(first, last, weight, surge) of each stretch of lines between dives; first and last have weight."""
+    sums = [0]
+    for w in weight:
+        sums.append(sums[-1] + w)
+    out: list[tuple[int, int, int, bool]] = []
+    first = last = None
+    surge = False
+    for k, w in enumerate(weight):
+        if not w:
+            continue
+        if last is not None and k - last > DIVE:
+            out.append((first, last, sums[last + 1] - sums[first], surge))
+            first = None
+        if first is None:
+            first, surge = k, False
+        surge |= sums[k + 1] - sums[max(first, k + 1 - WINDOW)] >= SURGE
+        last = k
+    if last is not None:
+        out.append((first, last, sums[last + 1] - sums[first], surge))
+    return out
+
+
 def main_text(page: str | None) -> str:
-    """The kept lines, joined by two newlines."""
+    """The kept lines, joined by two newlines: those with weight in stretches with a surge, or else in the heaviest stretch."""
     if not page:
         return ""
     lines = lines_of(page)
-    weight = [len(t) if a else max(0, len(t) - 2 * n) for t, n, a in lines]
-    keep, i = [False] * len(lines), 0
-    sums = [0, *weight]
-    for k in range(1, len(sums)):
-        sums[k] += sums[k - 1]
-    total = lambda k: sums[min(len(weight), k + WINDOW)] - sums[k]
-    full = [k for k, w in enumerate(weight) if w]  # the distribution is over lines with text
-    gap = {k: b - a for k, (a, b) in enumerate(zip(full, full[1:]))}
-    while i < len(full):
-        j = i  # a stretch of lines with text, no window of empty ones between
-        while j + 1 < len(full) and gap[j] <= 4 * WINDOW:
-            j += 1
-        stretch = full[i : j + 1]
-        first = next((k for k in stretch if lines[k][2] or total(k) >= SURGE), None)
-        if first is not None:
-            last = max(k for k in stretch if total(max(0, k - WINDOW + 1)) > 0)
-            for k in stretch:
-                keep[k] = first <= k <= last
-        i = j + 1
-    if not any(keep) and full:  # no surge: the heaviest line alone
-        keep[max(full, key=lambda k: weight[k])] = True
-    return "\n\n".join(t for (t, _, _), k in zip(lines, keep) if k and t)
+    weight = [max(0, len(t) - (LINK_INSIDE if inside else LINK) * n) for t, n, inside in lines]
+    found = stretches(weight)
+    kept = [x for x in found if x[3]] or sorted(found, key=lambda x: -x[2])[:1]
+    return "\n\n".join(lines[k][0] for first, last, _, _ in kept for k in range(first, last + 1) if weight[k])
 
 
 def extract(pages: DataFrame) -> DataFrame:
