@@ -1,8 +1,11 @@
 """Toxicity: a counterfactual-regularised classifier.
 
-Sparse logistic regression on the distinct words of a text and their beginnings. In labelled texts that mention an
+Sparse logistic regression on the distinct words of a text and their beginnings. In labelled sentences that mention an
 identity term, the term is swapped for another of its group, and a penalty on the squared change of the score makes
 the model ignore which group is mentioned; so neutral mentions of a group often named in toxic texts stay clean.
+
+The sentences are the labelled documents that mention a term, and neutral sentences made of a documented set of frames,
+each with each term of its language: a corpus in which no term occurs still gives swaps.
 """
 
 from __future__ import annotations
@@ -16,16 +19,46 @@ from pyspark.sql import functions as F
 
 from .common import drop, materialise, prepare, slices, words_of
 
-# Groups of identity terms that stand for one another in a neutral sentence.
-IDENTITY_GROUPS = [
-    ["muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "sikh", "catholic", "protestant"],
-    ["muslims", "christians", "jews", "hindus", "buddhists", "atheists", "sikhs", "catholics", "protestants"],
-    ["gay", "straight", "lesbian", "bisexual", "heterosexual", "homosexual", "transgender"],
-    ["women", "men"], ["woman", "man"], ["girl", "boy"], ["girls", "boys"], ["female", "male"],
-    ["black", "white", "asian", "latino", "african", "european", "arab"],
-    ["immigrant", "refugee", "foreigner", "citizen", "native"], ["immigrants", "refugees", "foreigners", "citizens", "natives"],
-    ["deaf", "blind", "disabled", "elderly", "young"],
-]
+# By language, groups of identity terms that stand for one another in a neutral sentence.
+IDENTITY_GROUPS = {
+    "en": [
+        ["muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "sikh", "catholic", "protestant"],
+        ["muslims", "christians", "jews", "hindus", "buddhists", "atheists", "sikhs", "catholics", "protestants"],
+        ["gay", "straight", "lesbian", "bisexual", "heterosexual", "homosexual", "transgender"],
+        ["women", "men"], ["woman", "man"], ["girl", "boy"], ["girls", "boys"], ["female", "male"],
+        ["black", "white", "asian", "latino", "african", "european", "arab"],
+        ["immigrant", "refugee", "foreigner", "citizen", "native"], ["immigrants", "refugees", "foreigners", "citizens", "natives"],
+        ["deaf", "blind", "disabled", "elderly", "young"],
+    ],
+    "fr": [
+        ["musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée", "catholique", "protestant"],
+        ["musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques", "protestants"],
+        ["gay", "lesbienne", "bisexuel", "hétérosexuel", "homosexuel", "transgenre"], ["femmes", "hommes"], ["femme", "homme"],
+        ["noir", "blanc", "asiatique", "africain", "européen", "arabe"], ["immigrés", "réfugiés", "étrangers", "citoyens"],
+        ["sourd", "aveugle", "handicapé", "âgé", "jeune"],
+    ],
+    "de": [
+        ["muslim", "christ", "jude", "hindu", "buddhist", "atheist", "katholik", "protestant"],
+        ["muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken", "protestanten"],
+        ["schwul", "lesbisch", "bisexuell", "heterosexuell", "homosexuell", "transgender"], ["frauen", "männer"], ["frau", "mann"],
+        ["schwarze", "weiße", "asiaten", "afrikaner", "europäer", "araber"], ["einwanderer", "flüchtlinge", "ausländer", "bürger"],
+        ["taub", "blind", "behindert", "alt", "jung"],
+    ],
+    "es": [
+        ["musulmán", "cristiano", "judío", "hindú", "budista", "ateo", "católico", "protestante"],
+        ["musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos", "protestantes"],
+        ["gay", "lesbiana", "bisexual", "heterosexual", "homosexual", "transgénero"], ["mujeres", "hombres"], ["mujer", "hombre"],
+        ["negro", "blanco", "asiático", "africano", "europeo", "árabe"], ["inmigrantes", "refugiados", "extranjeros", "ciudadanos"],
+        ["sordo", "ciego", "discapacitado", "anciano", "joven"],
+    ],
+}
+# Frames of neutral sentences, labelled 0; {} is a term.
+NEUTRAL = {
+    "en": ["{} neighbours came to dinner", "a report about {} life in the city", "she read that {} history is taught here", "the {} library opened in spring"],
+    "fr": ["un voisin {} est venu dîner", "un rapport sur la vie {} en ville", "elle a lu une histoire {} ici", "la maison {} a ouvert au printemps"],
+    "de": ["ein nachbar {} kam zum essen", "ein bericht über das leben {} in der stadt", "sie las hier eine geschichte {}", "das haus {} wurde im frühling geöffnet"],
+    "es": ["un vecino {} vino a cenar", "un informe sobre la vida {} en la ciudad", "ella leyó aquí una historia {}", "la casa {} abrió en primavera"],
+}
 
 #: Labelled rows of each class that training reads at most (about; chosen by a hash of doc_id), and features kept.
 SAMPLE, FEATURES = 5000, 4000
@@ -37,6 +70,8 @@ STARTS, LEAST, L1, COUNTERFACTUAL = (4, 5, 6), 4, 1.0, 30.0
 class Model:
     weights: dict[bytes, float] = field(default_factory=dict)
     bias: float = 0.0
+    #: Swaps that the fit penalised: of labelled documents, and of neutral sentences.
+    swapped: tuple[int, int] = (0, 0)
 
 
 def features(word: bytes) -> list[bytes]:
@@ -49,11 +84,20 @@ def text_features(words: list[bytes], known=features) -> set[bytes]:
     return set(count) | {b"2" + f for f, n in count.items() if n > 1}
 
 
-def swaps(words: list[bytes]) -> list[list[bytes]]:
+def _groups(groups: dict[str, list[list[str]]]) -> list[list[bytes]]:
+    """All groups, each term as its words do; a group that two languages share comes once."""
+    return [list(g) for g in dict.fromkeys(tuple(b" ".join(words_of(t)) for t in g) for gs in groups.values() for g in gs)]
+
+
+def sentences(groups: dict[str, list[list[str]]], frames: dict[str, list[str]]) -> list[str]:
+    """The frames of each language with each of its terms."""
+    return [f.replace("{}", t) for lang, gs in groups.items() for t in dict.fromkeys(t for g in gs for t in g) for f in frames.get(lang, [])]
+
+
+def swaps(words: list[bytes], groups: list[list[bytes]]) -> list[list[bytes]]:
     """The words with each identity term in turn replaced by the next of its group, and by the one after."""
     out, there = [], set(words)
-    for group in IDENTITY_GROUPS:
-        terms = [t.encode() for t in group]
+    for terms in groups:
         for i, t in enumerate(terms):
             if t in there:
                 out += [[terms[(i + step) % len(terms)] if w == t else w for w in words] for step in (1, 2)[: len(terms) - 1]]
@@ -102,16 +146,19 @@ def fit(rows: list[tuple[int, list[int]]], changes: list[tuple[list[int], list[i
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactual: float = COUNTERFACTUAL) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactual: float = COUNTERFACTUAL, groups: dict[str, list[list[str]]] = IDENTITY_GROUPS, frames: dict[str, list[str]] = NEUTRAL) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, toxic); rows without a label don't count.
 
-    Of several labels of a doc_id the largest holds. Each text counts once. What reaches the driver is bounded by
-    the sample. With one class only, or no rows, the model scores every text alike, below 0.5 if none is toxic.
+    Of several labels of a doc_id the largest holds; rows that repeat a doc_id all have its label. Null texts don't
+    count, and each text counts once. groups and frames: identity terms and neutral sentences by language, both may be
+    empty. What reaches the driver is bounded by the sample. With one class only, or no rows, the model scores every
+    text alike, below 0.5 if none is toxic.
     """
     import numpy as np
 
     spark = docs.sparkSession
     prepare(spark)
+    terms, neutral = _groups(groups), sentences(groups, frames)
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     per = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not per.get(1) or not per.get(0):
@@ -138,12 +185,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactu
 
     # at most three samples of (id, label): a bounded side
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text").where("text is not null")
-    rows, path = materialise(texts.mapInArrow(distinct, "toxic int, same long, text string").dropDuplicates(["toxic", "same"]).select("toxic", "text"), "sample", rows=3 * sample)
+    distinct_texts = texts.mapInArrow(distinct, "toxic int, same long, text string").dropDuplicates(["toxic", "same"])
+    made = spark.createDataFrame([(t,) for t in neutral], "text string").select(F.lit(0).alias("toxic"), "text", F.lit(True).alias("neutral"))
+    rows = materialise(distinct_texts.select("toxic", "text", F.lit(False).alias("neutral")).unionAll(made.coalesce(1)), "sample", rows=3 * sample)
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    counts, at = materialise(rows.mapInArrow(count, "f binary, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST), "counts", rows=3 * sample)
+    counts = materialise(rows.select("toxic", "text").mapInArrow(count, "f binary, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST), "counts", rows=3 * sample)
     chi = F.expr(f"pow(b * ({n0}D - a) - a * ({n1}D - b), 2) / ((a + b) * greatest(1, {n0 + n1}D - a - b))")
-    identity = {f for g in IDENTITY_GROUPS for t in g for f in features(t.encode())}
+    identity = {f for g in terms for t in g for w in t.split(b" ") for f in features(w)}
     kept = {bytes(r.f) for r in counts.orderBy(chi.desc(), "f").limit(FEATURES).collect()} | {bytes(r.f) for r in counts.where(F.col("f").isin(*sorted(identity))).collect()}
     index = {f: i for i, f in enumerate(sorted(kept))}
     shared = spark.sparkContext.broadcast(index)
@@ -155,18 +204,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactu
         of = lambda w: {index[f] for f in text_features(w) if f in index}
         for b in slices(batches, 1):
             out = []
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for y, text, own in zip(*(c.to_pylist() for c in b.columns)):
                 x = of(words := words_of(text))
-                out.append((y, sorted(x), [{"gained": sorted(z - x), "lost": sorted(x - z)} for z in map(of, swaps(words)) if z != x]))
+                out.append((y, own, sorted(x), [{"gained": sorted(z - x), "lost": sorted(x - z)} for z in map(of, swaps(words, terms)) if z != x]))
             change = pa.list_(pa.struct([("gained", pa.list_(pa.int32())), ("lost", pa.list_(pa.int32()))]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.list_(pa.int32()), change))], ["toxic", "at", "changes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.bool_(), pa.list_(pa.int32()), change))], ["toxic", "neutral", "at", "changes"])
 
-    placed = rows.mapInArrow(place, "toxic int, at array<int>, changes array<struct<gained:array<int>, lost:array<int>>>").collect()  # bounded by the sample
-    drop(spark, path)
-    drop(spark, at)
+    placed = rows.mapInArrow(place, "toxic int, neutral boolean, at array<int>, changes array<struct<gained:array<int>, lost:array<int>>>").collect()  # bounded by the sample
+    drop(rows)
+    drop(counts)
     placed.sort(key=lambda r: (r.toxic, r.at))
+    swapped = tuple(sum(len(r.changes) for r in placed if r.neutral == own) for own in (False, True))
     w, b = fit([(r.toxic, r.at) for r in placed], [(c.gained, c.lost) for r in placed for c in r.changes], len(index), counterfactual)
-    return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-6}, float(np.clip(b, -30, 30)))
+    return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-6}, float(np.clip(b, -30, 30)), swapped)
 
 
 class _Known(dict):
@@ -221,7 +271,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of documents, with all their columns, that the model doesn't reject. A row is judged where it is read."""
+    """The rows of documents, with all their columns, that the model doesn't reject. A row is judged where it is read.
+
+    A null or wordless text is judged as score() does, by the bias; repeated rows and null doc_ids are judged each by
+    itself; an empty table stays empty.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
