@@ -13,12 +13,26 @@ from pyspark.sql import functions as F
 from .spans import with_matches
 
 _LOCAL = "A-Za-z0-9._%+-"
+# Characters of an IBAN by country, as its registry has them.
+IBAN = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 "
+    "KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
+
+
+def _iban() -> str:
+    """Countries of one length together: two check digits, then groups of four and what is left over."""
+    lengths = {n: "|".join(x[:2] for x in IBAN.split() if int(x[2:]) == n) for n in sorted({int(x[2:]) for x in IBAN.split()})}
+    rest = lambda n: rf"(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    return r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{c})[0-9]{{2}}{rest(n)}" for n, c in lengths.items()) + r")(?![A-Za-z0-9])"
+
+
 PATTERNS = {
     "email": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban(),
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
@@ -76,11 +90,13 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, a count of each base kind, base_sha256 and spans (kind:start:end, comma-joined), and counts of the added kinds."""
+    """doc_id, a count of each base kind, base_sha256 and spans (kind:start:end, comma-joined), counts of the added kinds
+    and of all, and the spans' scores, comma-joined in their order."""
+    scores = F.array_join(F.transform("spans", lambda x: F.format_string("%.2f", x["score"])), ",").alias("scores")
     shown = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
-    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"), *(count(k) for k in PATTERNS if k not in BASE))
+    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"), *(count(k) for k in PATTERNS if k not in BASE), F.size("spans").cast("long").alias("n_spans"), scores)
 
 
 def redact(found: DataFrame) -> DataFrame:
