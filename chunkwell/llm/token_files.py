@@ -18,8 +18,9 @@ from .tokens import Encoder, default_tokenizer
 
 #: Ids in a segment: bounds what a task holds.
 SEGMENT = 1 << 20
-#: Ranges of doc_id at most: bounds the quantile sketch. A range is sorted on disk, so it may be larger than memory.
-MAX_SHARDS = 10_000
+#: Ranges of doc_id at most: bounds what the quantile sketch brings to the driver, some 100 MB. 100 TB in splits of
+#: 128 MB make four splits a range; a range is sorted on disk, so it may be larger than memory.
+MAX_SHARDS = 200_000
 _ROWS = "bucket int, doc_id long, n long, ids binary, width int"
 _BLOCK = "struct<n:long, lanes:int, words:binary, marks:array<struct<step:long, word:long, state:binary>>, crc:long>"
 FORMAT = f"shard int, segment int, shard_start long, n_tokens long, freq binary, docs binary, blocks array<{_BLOCK}>"
