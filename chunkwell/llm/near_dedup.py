@@ -392,7 +392,7 @@ def _labelled(rows: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
         counts = labelled.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds"), F.sum("n").alias("rows"))
         several = counts.where("kinds > 1 and rows > 2").selectExpr("key", "top.component most")  # a bucket of two was tested as star and member
         if exact:
-            several = several.join(held.join(more, "rep", "left_semi").select("key"), "key", "left_semi")
+            several = several.join(held.join(more, "rep", "left_semi").select("key").distinct(), "key", "left_semi")
         several = materialise(several, "several", rows=n)
         mixed = materialise(labelled.join(several, "key").select("key", "rep", "component", F.expr("component = most").alias("major")), "mixed", rows=4 * n)
         if exact:
