@@ -74,17 +74,16 @@ def name_documents(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> DataF
         own = materialise(held.select("v").distinct().sortWithinPartitions("v").select("v", (-1 - _NUMBER()).alias("name")), "own")
         found = found.unionAll(held.join(own, "v").select("row", "pos", "name"))
     now, done = materialise(_collected(found), "level-0"), []
-    while True:
+    most = named.agg(F.max("n_bytes")).first()[0] or 0
+    levels = max(0, (max(1, -(-most // block)) - 1).bit_length())
+    for level in range(levels):
         done.append(now.where("size(names) = 1").select("row", F.col("names")[0].alias("name")))
-        now = now.where("size(names) > 1")
-        if now.isEmpty():
-            break
-        pairs = materialise(now.select("row", F.posexplode(_pairs(F.col("names"))).alias("pos", "p")).select("row", "pos", "p.a", "p.b"), "pairs")
+        pairs = now.where("size(names) > 1").select("row", F.posexplode(_pairs(F.col("names"))).alias("pos", "p")).select("row", "pos", "p.a", "p.b")
         names = materialise(pairs.where("b is not null").select("a", "b").distinct().sortWithinPartitions("a", "b").select("a", "b", _NUMBER().alias("name")), "names")
         both = pairs.where("b is not null").join(names, ["a", "b"]).select("row", "pos", "name")
-        now = materialise(_collected(both.unionAll(pairs.where("b is null").select("row", "pos", "a"))), f"level-{len(done)}")
-        drop(pairs)
+        now = materialise(_collected(both.unionAll(pairs.where("b is null").select("row", "pos", "a"))), f"level-{level + 1}")
         drop(names)
+    done.append(now.select("row", F.col("names")[0].alias("name")))
     last = done[0]
     for d in done[1:]:
         last = last.unionAll(d)
