@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IDS, free, materialise, prepare, slices, small, with_rows, words_of
+from .common import IDS, free, mark, materialise, prepare, release, slices, small, with_rows, words_of
 
 WINDOW, SHINGLE = 13, 3
 #: Words of a benchmark that is broadcast: some 100 MB in a Python worker.
@@ -318,6 +318,7 @@ def _joined(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
     place of a prefix goes on with the words around it, so a window is compared word by word without its document.
     """
     spark, empty = rows.sparkSession, F.sha2(F.lit(""), 256)
+    since = mark(spark)
     held = materialise(_item_windows(items, window), "item-windows")
     windows = held.select("window", "n").distinct()
     parts = materialise(_parts(windows), "parts")
@@ -365,6 +366,7 @@ def _joined(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
     found = sure.select("row", "window").distinct().join(held.select("window", "item_id"), "window").select("row", F.col("item_id").cast("string").alias("item")).distinct()
     names = found.groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
     hits = materialise(n_hit.join(names, "row"), "hits")
+    release(spark, since, [hits])
 
     def size(batches: Iterator) -> Iterator:
         import pyarrow as pa
