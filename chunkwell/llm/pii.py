@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import with_matches
+from .spans import around, blocks_of, stretch, with_matches
 
 _LOCAL = "A-Za-z0-9._%+-"
 # Characters of an IBAN by country, as its registry has them.
@@ -80,10 +80,11 @@ def find(docs: DataFrame) -> DataFrame:
     digit = F.col("text").rlike("[0-9]")
     gates = {"email": F.col("text").contains("@"), "ip": F.col("text").contains(".") & digit, "card": digit, "phone": F.col("text").contains("+"), "iban": digit, "ssn": F.col("text").contains("-") & digit}
     found = with_matches(rows, "text", PATTERNS, gates)
+    found = found.withColumn("blocks", blocks_of("text", F.greatest(*(F.size(kind) for kind in PATTERNS)) > 0))
     for at, kind in enumerate(PATTERNS):
         sure = F.filter(kind, lambda x: _confirmed(kind, x["value"]))
-        around = lambda x: F.concat(F.lower(F.col("text").substr(F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.least(x["start"], F.lit(NEAR)))), F.lit(" "), F.lower(F.col("text").substr(x["end"] + 1, F.lit(NEAR))))
-        score = lambda x: F.lit(PRIOR[kind]) + F.when(around(x).rlike(rf"\b(?:{CONTEXT[kind]})"), BONUS).otherwise(0.0)
+        near = lambda x: F.lower(F.concat_ws(" ", *around("blocks", x["start"], x["end"], NEAR)))
+        score = lambda x: F.lit(PRIOR[kind]) + F.when(near(x).rlike(rf"\b(?:{CONTEXT[kind]})"), BONUS).otherwise(0.0)
         scored = F.transform(sure, lambda x: F.struct(x["start"].alias("start"), F.lit(at).alias("at"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.least(score(x), F.lit(1.0)).alias("score")))
         found = found.withColumn(kind, scored if kind in BASE else F.filter(scored, lambda x: x["score"] >= LEAST))
     return found.select("doc_id", "text", F.array_sort(F.concat(*PATTERNS)).alias("spans"))
@@ -102,7 +103,8 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(found: DataFrame) -> DataFrame:
     """doc_id and text with each stretch of spans replaced by the first one's kind in brackets."""
     merged = F.aggregate("spans", F.array().cast("array<struct<start:int, at:int, end:int, kind:string, score:double>>"), lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > x["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.get(acc, F.size(acc) - 1).withField("end", F.greatest(F.get(acc, F.size(acc) - 1)["end"], x["end"]))))).otherwise(F.concat(acc, F.array(x))))
-    rows = found.withColumn("merged", merged)
-    kept = F.transform("merged", lambda x, i: F.concat(F.col("text").substr(F.when(i == 0, 1).otherwise(F.get("merged", i - 1)["end"] + 1), x["start"] - F.when(i == 0, 0).otherwise(F.get("merged", i - 1)["end"])), F.lit("["), x["kind"], F.lit("]")))
+    rows = found.withColumn("merged", merged).withColumn("blocks", blocks_of("text", F.size("merged") > 0))
+    ends = lambda i: F.when(i == 0, 0).otherwise(F.get("merged", i - 1)["end"])
+    kept = F.transform("merged", lambda x, i: F.concat(stretch("blocks", ends(i), x["start"] - ends(i)), F.lit("["), x["kind"], F.lit("]")))
     tail = F.when(F.size("merged") == 0, F.col("text")).otherwise(F.col("text").substr(F.get("merged", F.size("merged") - 1)["end"] + 1, F.char_length("text")))
     return rows.select("doc_id", F.concat(F.array_join(kept, ""), tail).alias("text"))

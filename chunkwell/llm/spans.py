@@ -6,6 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _CHUNK = 256
+_BLOCK = 256
+
+
+def blocks_of(text: str, wanted: Column) -> Column:
+    """The text in blocks of equal length, from which stretch() cuts; none where it isn't wanted."""
+    return F.when(wanted, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}+"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def stretch(blocks: str, start: Column, length: Column) -> Column:
+    """Code points of the text from start on; it costs what the stretch is long, where a substring costs all before it."""
+    first = F.floor(start / _BLOCK).cast("int")
+    last = F.floor((start + length - 1) / _BLOCK).cast("int")
+    return F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "").substr(start % _BLOCK + 1, length)
+
+
+def around(blocks: str, start: Column, end: Column, near: int) -> tuple[Column, Column]:
+    """Up to `near` code points before start, and as many from end on."""
+    before = F.least(start, F.lit(near))
+    return stretch(blocks, start - before, before), stretch(blocks, end, F.lit(near))
 
 
 def _total(a: Column) -> Column:
