@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import with_matches
+from .spans import around, blocks_of, with_matches
 
 # Names after which a value is read.
 KEYS = "password|passwd|passphrase|pwd|secret|api_?key|apikey|access_?key|private_?key|token|credentials?"
@@ -149,14 +149,20 @@ def vote(trees: list[dict]) -> Column:
 
 
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, row, start, end, value, before, after, path: one row a candidate; a value inside a token is that token."""
+    """doc_id, start, end, value, before, after, path: one row a candidate; a value that begins where a token does is that token.
+
+    A value follows a sign that no token holds, so it begins inside a token only where the token begins.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.col(path).cast("string") if path else F.lit(None).cast("string")).alias("path"))
     key = F.lower(F.col("text")).rlike(KEYS)
     found = with_matches(rows, "text", PATTERNS, {"token": F.col("text").rlike("[0-9]"), "value": key})
-    alone = F.filter("value", lambda v: ~F.exists("token", lambda t: (t["start"] <= v["start"]) & (v["start"] < t["end"])))
-    each = found.select("doc_id", "text", "path", F.explode(F.concat("token", alone)).alias("c"))
-    start, end = F.col("c.start"), F.col("c.end")
-    return each.select("doc_id", start.alias("start"), end.alias("end"), F.col("c.value").alias("value"), F.col("text").substr(F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR))).alias("before"), F.col("text").substr(end + 1, F.lit(NEAR)).alias("after"), "path")
+    kinds = [F.transform(name, lambda x: F.struct(x["start"].alias("start"), F.lit(at).alias("at"), x["end"].alias("end"), x["value"].alias("value"))) for at, name in enumerate(PATTERNS)]
+    found = found.withColumn("blocks", blocks_of("text", F.size("token") + F.size("value") > 0)).withColumn("all", F.array_sort(F.concat(*kinds)))
+    once = F.filter("all", lambda x, i: (i == 0) | (x["start"] != F.get("all", F.greatest(i - 1, F.lit(0)))["start"]))
+    found = found.select("doc_id", "path", "blocks", once.alias("once"))
+    beside = lambda x: [c.alias(n) for c, n in zip(around("blocks", x["start"], x["end"], NEAR), ("before", "after"))]
+    each = found.select("doc_id", "path", F.inline(F.transform("once", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), *beside(x)))))
+    return each.select("doc_id", "start", "end", "value", "before", "after", "path")
 
 
 def scan(docs: DataFrame, trees: list[dict], path: str | None = None) -> DataFrame:
