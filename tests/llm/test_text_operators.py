@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from chunkwell.llm import common, decontamination, html_text, language_id, packing, pii, rans, secrets, token_files, tokens
+from chunkwell.llm import common, decontamination, html_text, language_id, packing, pii, rans, secrets, spans, token_files, tokens
 
 D = "/root/testdata/sf0.001"
 EXTRA = [(900001, None), (900002, ""), (900003, " \n"), (900004, "É é ÀÖß ½ it's WE'LL <|endoftext|> 日本語 a\x85b"), (900005, "word " * 30000), (None, "null id"), (900006, "same"), (900006, "same"), (900006, "other")]
@@ -266,6 +266,13 @@ def test_pii(spark, rows):
         b = base_spans(t or "")
         want.append((d, *(sum(x[2] == k for x in b) for k in pii.BASE), hashlib.sha256(",".join(f"{k}:{a}:{e}" for a, _, k, e in b).encode()).hexdigest()))
     assert ordered((x.doc_id, *(x[f"n_{k}"] for k in pii.BASE), x.base_sha256) for x in got) == ordered(want)
+    texts = dict(every)
+    for x in got:
+        for span, score in zip(x.spans.split(","), x.scores.split(",")) if x.spans else []:
+            kind, a, z = span.split(":")
+            near = (texts[x.doc_id][max(0, int(a) - pii.NEAR) : int(a)] + " " + texts[x.doc_id][int(z) : int(z) + pii.NEAR]).lower()
+            found = re.search(rf"\b(?:{pii.CONTEXT[kind]})", near)
+            assert float(score) == pytest.approx(min(1.0, pii.PRIOR[kind] + pii.BONUS * bool(found))), (x.doc_id, span)
     assert all(x.n_spans == len(x.spans.split(",") if x.spans else []) == len(x.scores.split(",") if x.scores else []) for x in got)
     assert pii.digest(pii.find(docs.limit(0))).count() == 0
 
@@ -285,6 +292,37 @@ def test_context_scores(spark):
     assert got == ["1.00", "0.90", "0.90", "0.60", "0.90", "0.60", "0.70", "", "1.00"]
 
 
+def test_stretches_of_a_text(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    rows = []
+    for n in (0, 1, 255, 256, 257, 511, 512, 513, 3000):
+        t = "".join(r.choices("ab \n\r\u2028é😀", k=n))
+        for _ in range(12):
+            a = r.randint(0, n)
+            rows.append((t, a, r.choice([a, min(n, a + 40), r.randint(a, n), n])))
+    df = spark.createDataFrame(rows, "text string, a int, z int").withColumn("blocks", spans.blocks_of("text", F.lit(True)))
+    before, after = spans.around("blocks", F.col("a"), F.col("z"), 40)
+    got = df.select("text", "a", "z", spans.stretch("blocks", F.col("a"), F.col("z") - F.col("a")).alias("s"), before.alias("b"), after.alias("e")).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert (x.s, x.b, x.e) == (x.text[x.a : x.z], x.text[max(0, x.a - 40) : x.a], x.text[x.z : x.z + 40])
+
+
+def test_many_findings_in_one_text(spark):
+    """20,000 findings in a text: a substring for each would read the text as often. Words around each finding count."""
+    n = 20_000
+    token = "0123456789abcdef0123456789abcdef01234567"
+    df = spark.createDataFrame([(1, "é 1.2.3.4 a@b.co " * n, "x"), (2, f'😀 token = "{token}" ' * n, "x")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in pii.digest(pii.find(df)).collect()}
+    assert (got[1].n_ip, got[1].n_email) == (n, n) and got[1].spans.endswith(f"ip:{17 * n - 15}:{17 * n - 8},email:{17 * n - 7}:{17 * n - 1}")
+    found = secrets.candidates(df.where("doc_id = 2"), "source").collect()
+    size = len(f'😀 token = "{token}" ')
+    assert sorted((x.start, x.end) for x in found) == [(i * size + 11, i * size + 51) for i in range(n)]
+    assert {x.value for x in found} == {token} and {x.before[-11:] for x in found} == {'😀 token = "'} and {x.after[:2] for x in found} == {'" '}
+
+
 def test_ibans_end_where_their_country_says(spark):
     right = ["AT61 1904 3002 3457 3201", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "FR14 2004 1010 0505 0001 3M02 606", "BE68 5390 0754 7034"]
     wrong = ["AT62 1904 3002 3457 3201", "AT61 1904 3002 3457 320", "XX61 1904 3002 3457 3201", "DE893704004405320130001"]
