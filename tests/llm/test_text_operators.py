@@ -277,6 +277,25 @@ def test_pii(spark, rows):
     assert pii.digest(pii.find(docs.limit(0))).count() == 0
 
 
+def test_pii_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from chunkwell.llm import pii_sql
+
+    r = random.Random(5)
+    parts = ["DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201", "GB29NWBK60161331926819", "123-45-6789", "000-12-3456", "ssn ", "bank", "hôtel ", "tel ", "mail ", "1.2.3.4", "256.1.1.1", "a@b.co", "4111 1111 1111 1111", "+1 234 567 8901", "é", "😀", "\n", " ", " ", "-", "9", "X", "x."]
+    made = [(i, "".join(r.choices(parts, k=r.randint(0, 14)))) for i in range(1500)] + [(7, None), (7, ""), (None, "a@b.co")]
+    got = pii.digest(pii.find(spark.createDataFrame(made, "doc_id long, text string"))).collect()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(made, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    want = con.execute(pii_sql.sql())
+    names = [c[0] for c in want.description]
+    assert set(names) == set(got[0].asDict())
+    assert ordered(tuple(x[n] for n in names) for x in got) == ordered(want.fetchall())
+    assert sum(x.n_iban for x in got) > 200 and sum(x.n_ssn for x in got) > 15
+
+
 def test_pii_added_kinds_and_redaction(spark):
     t = "IBAN DE89 3704 0044 0532 0130 00, not DE88 3704 0044 0532 0130 00; ssn 123-45-6789; 000-12-3456; mail a@b.co"
     df = spark.createDataFrame([(1, t), (2, "code 123-45-6789 alone"), (3, None)], "doc_id long, text string")
